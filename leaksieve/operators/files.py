@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +23,18 @@ def exempt_by_name(path: Column, exempt: Iterable[str] = DEFAULT_EXEMPT) -> Colu
 
 
 def exempt_by_path(path: Column, exempt: Iterable[str] = DEFAULT_EXEMPT) -> Column:
-    """A plain substring test: ``LICENSE-MIT`` is exempt because ``LICENSE`` is."""
-    tests = (path.startswith(entry) | path.contains("/" + entry) for entry in exempt)
-    return reduce(or_, tests, F.lit(False))
+    """The path, or a part of it after a slash, starts with an entry.
+
+    That is a substring test: ``LICENSE-MIT`` is exempt because ``LICENSE`` is.
+    One alternation, so that a computed path is evaluated once and not per entry.
+    """
+    names = "|".join(re.escape(entry) for entry in exempt)
+    return path.rlike(rf"(?:\A|/)(?:{names})") if names else F.lit(False)
 
 
 def is_exempt(path: Column, exempt: Iterable[str] = DEFAULT_EXEMPT) -> Column:
-    names = tuple(exempt)
-    return exempt_by_name(path, names) | exempt_by_path(path, names)
+    """By name or by path; a base name that equals an entry also starts with it."""
+    return exempt_by_path(path, exempt)
 
 
 def is_executable(mode: Column) -> Column:

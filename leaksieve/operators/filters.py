@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_, or_
 
@@ -17,9 +17,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leaksieve.functions.complexity import MIN_BYTES, MIN_CLASSES, class_count
-from leaksieve.functions.entropy import LONG_BYTES, entropy, entropy_text, long_entropy, short_entropy
-from leaksieve.functions.entropy import standard_entropy
-from leaksieve.functions.regexes import check_pattern
+from leaksieve.functions.entropy import (
+    LONG_BYTES,
+    entropy,
+    entropy_text,
+    long_entropy,
+    short_entropy,
+    standard_entropy,
+)
+from leaksieve.functions.regexes import check_pattern, relaxed_regex
+from leaksieve.functions.text import fields_from
 
 Evidence = dict[str, Column]
 
@@ -29,12 +36,20 @@ class TokenFilter:
     """``match(token)`` is a boolean column and ``evidence(token)`` maps keys to text columns.
 
     A null evidence value means the key is absent. No token with fewer than
-    ``min_chars`` code points can match.
+    ``min_chars`` code points can match. ``text_test`` says whether some token
+    of a whole text matches; without it the tokens are asked one by one.
     """
 
     match: Callable[[Column], Column]
     evidence: Callable[[Column], Evidence]
     min_chars: int = 0
+    text_test: Callable[[Column], Column] | None = None
+
+    def in_text(self, text: Column) -> Column:
+        return self.text_test(text) if self.text_test else self.in_tokens(text)
+
+    def in_tokens(self, text: Column) -> Column:
+        return F.exists(fields_from(text, self.min_chars), self.match)
 
 
 def _least_symbols(threshold: float) -> int:
@@ -84,10 +99,15 @@ def complexity_filter() -> TokenFilter:
 def regex_filter(header: str, pattern: str) -> TokenFilter:
     """Tokens with an unanchored match; the evidence is the leftmost matched text."""
     java = check_pattern(pattern)
-    return TokenFilter(
+    plain = TokenFilter(
         lambda token: token.rlike(java),
         lambda token: {header: F.regexp_extract(token, java, 0)},
     )
+    relaxed = relaxed_regex(pattern)
+    if relaxed is None:
+        return plain
+    # One pass over the text rules most files out before their tokens are asked.
+    return replace(plain, text_test=lambda text: text.rlike(relaxed) & plain.in_tokens(text))
 
 
 def _merge(earlier: Evidence, later: Mapping[str, Column]) -> Evidence:
@@ -112,17 +132,24 @@ def any_of(*members: TokenFilter | None) -> TokenFilter:
         lambda token: reduce(or_, (member.match(token) for member in present), F.lit(False)),
         evidence,
         min((member.min_chars for member in present), default=0),
+        lambda text: reduce(or_, (member.in_text(text) for member in present), F.lit(False)),
     )
 
 
 def all_of(*members: TokenFilter | None) -> TokenFilter:
     """Matches if every member does; with no members it matches everything, without evidence."""
     present = [member for member in members if member is not None]
-    return TokenFilter(
+    plain = TokenFilter(
         lambda token: reduce(and_, (member.match(token) for member in present), F.lit(True)),
         lambda token: reduce(_merge, (member.evidence(token) for member in present), {}),
         max((member.min_chars for member in present), default=0),
     )
+    if len(present) < 2:
+        return plain
+    # Each member must match somewhere before it can be the same token.
+    return replace(
+        plain, text_test=lambda text: reduce(and_, (m.in_text(text) for m in present)) & plain.in_tokens(text)
+    )
 
 
 def regex_filters(rules: Mapping[str, str]) -> list[TokenFilter]:

@@ -48,8 +48,12 @@ def admit_batch(files: DataFrame, token_filter: TokenFilter) -> DataFrame:
 
 
 def explode_hits(by_file: DataFrame) -> DataFrame:
-    """By-file findings in long form."""
-    return by_file.select("path", F.inline("hits"))
+    """By-file findings in long form.
+
+    No file comes without hits, so the outer form adds nothing. The inner one
+    would infer a test on the hits, and have them evaluated twice.
+    """
+    return by_file.select("path", F.inline_outer("hits"))
 
 
 def merge_scans(*scans: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaksieve.functions.text import fields, fields_from
+from leaksieve.functions.text import fields, raw_lines
 from leaksieve.operators.filters import TokenFilter, any_of, payload, regex_filters
 from leaksieve.operators.tokens import literals, readable_lines, tokens
 
@@ -24,10 +24,7 @@ MAX_BROADCAST_PATHS = 50_000
 
 def has_hit(text: Column, token_filter: TokenFilter | None) -> Column:
     """Whether any token of ``text`` matches; false for a null text."""
-    if token_filter is None:
-        return F.lit(False)
-    candidates = fields_from(text, token_filter.min_chars)
-    return F.coalesce(F.exists(candidates, token_filter.match), F.lit(False))
+    return F.coalesce((token_filter or any_of()).in_text(text), F.lit(False))
 
 
 def one_row_per_file(files: DataFrame) -> None:
@@ -44,8 +41,8 @@ def scan(
     """Findings: one row per matching token. No filter means no findings."""
     token_filter = token_filter or any_of()
     flagged = files.filter(has_hit(F.col("text"), token_filter))
-    hits = tokens(flagged, keep, line_limit).filter(token_filter.match(F.col("token")))
-    return hits.withColumn("payload", payload(token_filter.evidence(F.col("token"))))
+    base = F.col("line_base") if "line_base" in files.columns else None
+    return flagged.select(*keep, F.inline(located_hits(F.col("text"), token_filter, line_limit, base)))
 
 
 def scan_literals(files: DataFrame, token_filter: TokenFilter) -> DataFrame:
@@ -76,21 +73,26 @@ def scan_paths(
     return scan(candidates, token_filter).join(paths.select("path").distinct(), "path")
 
 
-def located_hits(text: Column, token_filter: TokenFilter, line_limit: int | None = None) -> Column:
+def located_hits(
+    text: Column, token_filter: TokenFilter, line_limit: int | None = None, line_base: Column | None = None
+) -> Column:
     """All hits of one text as an array in line and field order."""
 
     def in_line(line: Column, index: Column) -> Column:
-        numbered = F.transform(
-            fields(line),
-            lambda token, at: F.struct(
-                (index + 1).cast("int").alias("line_no"), (at + 1).cast("int").alias("col"), token.alias("token")
-            ),
-        )
-        return F.filter(numbered, lambda hit: token_filter.match(hit.token))
+        number = index + 1 if line_base is None else index + 1 + line_base
+
+        def located(token: Column, at: Column) -> Column:
+            place = F.struct(
+                number.cast("int").alias("line_no"), (at + 1).cast("int").alias("col"), token.alias("token")
+            )
+            return F.when(token_filter.match(token), place)
 
-    hits = F.flatten(F.transform(readable_lines(text, line_limit), in_line))
+        return F.array_compact(F.transform(fields(line), located))
+
+    # Blank last lines and carriage returns hold no tokens, so a plain cut will do.
+    pieces = raw_lines(text) if line_limit is None else readable_lines(text, line_limit)
     return F.transform(
-        hits,
+        F.flatten(F.transform(pieces, in_line)),
         lambda hit: F.struct(
             hit.line_no.alias("line_no"),
             hit.col.alias("col"),
@@ -105,9 +107,9 @@ def scan_by_file(files: DataFrame, token_filter: TokenFilter | None, line_limit:
     one_row_per_file(files)
     token_filter = token_filter or any_of()
     flagged = files.filter(has_hit(F.col("text"), token_filter))
-    return flagged.select("path", located_hits(F.col("text"), token_filter, line_limit).alias("hits")).filter(
-        F.size("hits") > 0
-    )
+    found = flagged.select("path", located_hits(F.col("text"), token_filter, line_limit).alias("hits"))
+    # A test on the hits is pushed below them and evaluates them twice; only a cut text needs it.
+    return found if line_limit is None else found.filter(F.size("hits") > 0)
 
 
 def rule_hits(files: DataFrame, rules: dict[str, str], keep: tuple[str, ...] = ("path",)) -> DataFrame:

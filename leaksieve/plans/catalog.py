@@ -123,11 +123,10 @@ def snapshots_of_documents(spark, folder):
     Earlier one source was not there yet, German texts read otherwise, and the
     conversations lay beside them.
     """
-    table = read_table(spark, folder, "documents")
-    earlier = table.filter(F.col("source") != "src3").withColumn(
+    earlier = read_table(spark, folder, "documents", F.col("source") != "src3").withColumn(
         "text", F.when(F.col("lang") == "de", F.concat("text", F.lit(" old"))).otherwise(F.col("text"))
     )
-    return document_files(earlier).unionByName(conversations(spark, folder)), document_files(table)
+    return document_files(earlier).unionByName(conversations(spark, folder)), documents(spark, folder)
 
 
 @query
@@ -400,7 +399,7 @@ def quarantined_files(spark, folder):
 
 @query
 def merge_scans(spark, folder):
-    english = document_files(read_table(spark, folder, "documents").filter(F.col("lang") == "en"))
+    english = document_files(read_table(spark, folder, "documents", F.col("lang") == "en"))
     first = scan_by_file(documents(spark, folder), entropy_filter(LOOSE_LIMIT))
     return flat_hits(derived.merge_scans(first, scan_by_file(english, entropy_filter(PROSE_LIMIT))))
 
@@ -437,7 +436,9 @@ def mask_reported(spark, folder):
 
 @query
 def restore_lines(spark, folder):
-    masked = masking.mask_lines(documents(spark, folder), secret_lines())
+    stored = scratch_dir(spark, "masked")
+    masking.mask_lines(documents(spark, folder), secret_lines()).write.parquet(stored)
+    masked = spark.read.parquet(stored)
     return masking.restore_lines(masked, masking.vault_rows(masked)).select("path", "text")
 
 

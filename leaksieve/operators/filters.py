@@ -68,7 +68,7 @@ def entropy_filter(threshold: float, mode: str = "compat") -> TokenFilter:
     """Tokens whose entropy is strictly above ``threshold``."""
     least = _least_symbols(threshold)
     # Values equal to nine decimals count as ties, and a tie is not above.
-    limit = F.lit(threshold + 5e-10)
+    limit = threshold + 5e-10
 
     def match(token: Column) -> Column:
         distinct_enough = F.size(F.array_distinct(F.split(token, ""))) >= least

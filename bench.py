@@ -17,12 +17,12 @@ from leaksieve.session import local_session
 HEADLINE = (
     "token_totals",
     "token_scan",
-    "entropy_scan",
-    "complexity_scan",
-    "regex_scan",
+    "entropy_filter",
+    "complexity_filter",
+    "regex_filter",
     "regex_rules_join",
-    "default_filter_scan",
-    "detect_any_rule_scan",
+    "default_scan",
+    "detect_any_rule",
     "findings_by_file",
     "scan_gate",
     "clean_files",

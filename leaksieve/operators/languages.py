@@ -29,7 +29,8 @@ EXTENSIONS = dict(
 
 
 def languages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(EXTENSIONS.items()), "ext string, language string")
+    rows = ", ".join(f"('{ext}', '{language}')" for ext, language in EXTENSIONS.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS known(ext, language)")
 
 
 def with_language(files: DataFrame, extra: DataFrame | None = None) -> DataFrame:

@@ -73,8 +73,8 @@ def restore_lines(masked: DataFrame, vault: DataFrame, marker: str = MARKER) ->
     stays where it is.
     """
     columns = [name for name in masked.columns if name != "vault"]
-    carries = F.coalesce(F.col("text").contains(marker), F.lit(False))
-    untouched = masked.filter(~carries).select(*columns)
+    carries = F.col("text").contains(marker)
+    untouched = masked.filter(F.coalesce(~carries, F.lit(True))).select(*columns)
     joined = masked.filter(carries).select(*columns).join(vault.select("path", "vault"), "path", "left")
     text = F.when(
         F.col("vault").isNotNull(), F.array_join(_splice(raw_lines(F.col("text")), F.col("vault")), "\n")
@@ -84,7 +84,11 @@ def restore_lines(masked: DataFrame, vault: DataFrame, marker: str = MARKER) ->
 
 
 def mask_reported(files: DataFrame, by_file: DataFrame, marker: str = MARKER) -> DataFrame:
-    """Mask the lines named by stored by-file findings instead of scanning anew."""
+    """Mask the lines named by stored by-file findings instead of scanning anew.
+
+    Findings that fit Spark's broadcast limit go to the texts; beyond it both
+    sides are shuffled, and ``mask_lines`` is the cheaper way.
+    """
     one_row_per_file(files)
     numbers = F.array_sort(F.array_distinct(F.col("hits.line_no")))
     changes = by_file.select(

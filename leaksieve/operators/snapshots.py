@@ -1,7 +1,8 @@
 """What changed between two snapshots of a file set.
 
 Texts are compared by digest, so only paths and digests are shuffled. A path is
-unique within a snapshot.
+unique within a snapshot. A snapshot may bring its digests in a column
+``digest`` (see ``digests``); then its text is not read.
 """
 
 from __future__ import annotations
@@ -10,17 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.operators.filters import TokenFilter
-from leaksieve.operators.scan import located_hits, has_hit, one_row_per_file
+from leaksieve.operators.scan import has_hit, located_hits, one_row_per_file
 
 
-def _digest(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
+def _digest(snapshot: DataFrame) -> Column:
+    return F.col("digest") if "digest" in snapshot.columns else F.sha2(F.col("text").cast("binary"), 256)
+
+
+def digests(snapshot: DataFrame) -> DataFrame:
+    """What to store of a snapshot in order to compare the next one with it."""
+    return snapshot.select("path", _digest(snapshot).alias("digest"))
 
 
 def snapshot_status(previous: DataFrame, current: DataFrame) -> DataFrame:
     """``path`` and ``status`` (untracked, modified, deleted) of all that is not as it was."""
-    old = previous.select("path", _digest(F.col("text")).alias("old"), F.lit(True).alias("was"))
-    new = current.select("path", _digest(F.col("text")).alias("new"), F.lit(True).alias("is"))
+    old = previous.select("path", _digest(previous).alias("old"), F.lit(True).alias("was"))
+    new = current.select("path", _digest(current).alias("new"), F.lit(True).alias("is"))
     status = (
         F.when(F.col("was").isNull(), "untracked")
         .when(F.col("is").isNull(), "deleted")
@@ -49,8 +55,8 @@ def scan_changed(
     if max_file_size is not None:
         current = current.filter(F.col("size") <= max_file_size)
     found = current.filter(has_hit(F.col("text"), token_filter)).select(
-        "path", _digest(F.col("text")).alias("new"), located_hits(F.col("text"), token_filter).alias("hits")
+        "path", _digest(current).alias("new"), located_hits(F.col("text"), token_filter).alias("hits")
     )
-    old = previous.select("path", _digest(F.col("text")).alias("old"), F.lit(True).alias("was"))
+    old = previous.select("path", _digest(previous).alias("old"), F.lit(True).alias("was"))
     changed = F.col("was").isNull() | ~F.col("old").eqNullSafe(F.col("new"))
     return found.join(old, "path", "left").filter(changed).select("path", "hits")

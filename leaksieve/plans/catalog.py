@@ -64,9 +64,12 @@ TIMESTAMP = "2024-01-01T00:00:00Z"
 _QUERIES: dict[str, Query] = {}
 
 
-def query(function: Query) -> Query:
-    _QUERIES[function.__name__] = function
-    return function
+def query(name: str) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        _QUERIES[name] = function
+        return function
+
+    return register
 
 
 def queries() -> dict[str, Query]:
@@ -104,12 +107,12 @@ def prose_filter() -> TokenFilter:
 # Sources and sinks
 
 
-@query
+@query("files_manifest")
 def files_manifest(spark, folder):
     return documents(spark, folder).select("path", "size", "mode")
 
 
-@query
+@query("scan_file_list")
 def scan_file_list(spark, folder):
     labelled = read_table(spark, folder, "labels").select("doc_id").distinct()
     listed = read_table(spark, folder, "documents").select("doc_id", "source", "lang").join(labelled, "doc_id")
@@ -129,23 +132,23 @@ def snapshots_of_documents(spark, folder):
     return document_files(earlier).unionByName(conversations(spark, folder)), documents(spark, folder)
 
 
-@query
+@query("changed_files")
 def changed_files(spark, folder):
     return snapshots.changed_files(*snapshots_of_documents(spark, folder))
 
 
-@query
+@query("snapshot_status")
 def snapshot_status(spark, folder):
     return snapshots.snapshot_status(*snapshots_of_documents(spark, folder))
 
 
-@query
+@query("scan_changed")
 def scan_changed(spark, folder):
     found = snapshots.scan_changed(*snapshots_of_documents(spark, folder), entropy_filter(LOOSE_LIMIT), MAX_SIZE)
     return flat(derived.explode_hits(found), "entropy")
 
 
-@query
+@query("report_rows")
 def report_rows(spark, folder):
     entries = derived.report_entries(scan_by_file(documents(spark, folder), entropy_filter(PROSE_LIMIT)))
     return entries.select(
@@ -157,12 +160,12 @@ def report_rows(spark, folder):
     )
 
 
-@query
+@query("ignore_list")
 def ignore_list(spark, folder):
     return ignorefile.ignore_list(scan(documents(spark, folder), prose_filter()))
 
 
-@query
+@query("merge_ignore_rules")
 def merge_ignore_rules(spark, folder):
     table = read_table(spark, folder, "documents").withColumn("path", document_path())
     listed = table.filter(has_hit(F.col("text"), complexity_filter()))
@@ -180,45 +183,45 @@ def kept(files: DataFrame, unwanted) -> DataFrame:
     return files.filter(~unwanted).select("path", "size")
 
 
-@query
+@query("exempt_basename")
 def exempt_basename(spark, folder):
     return kept(documents(spark, folder), predicates.exempt_by_name(F.col("path")))
 
 
-@query
+@query("exempt_path")
 def exempt_path(spark, folder):
     return kept(documents(spark, folder), predicates.exempt_by_path(F.col("path")))
 
 
-@query
+@query("exempt_extended")
 def exempt_extended(spark, folder):
     config = ScanConfig().add_exempt(*EXTRA_EXEMPT)
     return kept(documents(spark, folder), predicates.is_exempt(F.col("path"), config.exempt))
 
 
-@query
+@query("ignore_rules")
 def ignore_rules(spark, folder):
     return kept(documents(spark, folder), predicates.is_ignored(F.col("path"), IGNORE_LINES))
 
 
-@query
+@query("non_executable")
 def non_executable(spark, folder):
     return kept(documents(spark, folder), predicates.is_executable(F.col("mode")))
 
 
-@query
+@query("size_cap")
 def size_cap(spark, folder):
     limit = ScanConfig().max_file_size
     return documents(spark, folder).filter(predicates.within_size(F.col("size"), limit)).select("path", "size")
 
 
-@query
+@query("eligible_files")
 def eligible_files(spark, folder):
     config = ScanConfig(max_file_size=MAX_SIZE)
     return predicates.eligible(documents(spark, folder), config, IGNORE_LINES).select("path", "size")
 
 
-@query
+@query("scan_eligible")
 def scan_eligible(spark, folder):
     """The whole default run: predicates, then the default filter."""
     config = ScanConfig(max_file_size=1 << 20, entropy_limit=PROSE_LIMIT)
@@ -229,18 +232,18 @@ def scan_eligible(spark, folder):
 # Tokenisers
 
 
-@query
+@query("lines")
 def file_lines(spark, folder):
     return lines(documents(spark, folder))
 
 
-@query
+@query("fields_per_line")
 def fields_per_line(spark, folder):
     rows = lines(documents(spark, folder))
     return rows.select("path", "line_no", F.size(fields(F.col("line"))).alias("n_fields"))
 
 
-@query
+@query("token_totals")
 def token_totals(spark, folder):
     rows = tokens(documents(spark, folder)).unionByName(tokens(pages(spark, folder)))
     return rows.groupBy("path").agg(
@@ -251,22 +254,22 @@ def token_totals(spark, folder):
     )
 
 
-@query
+@query("token_scan")
 def token_scan(spark, folder):
     return flat(scan(documents(spark, folder), entropy_filter(LOOSE_LIMIT)), "entropy")
 
 
-@query
+@query("long_line_cutoff")
 def long_line_cutoff(spark, folder):
     return flat(scan(documents(spark, folder), entropy_filter(LOOSE_LIMIT), line_limit=LINE_LIMIT), "entropy")
 
 
-@query
+@query("literal_scan")
 def literal_scan(spark, folder):
     return flat(scan_literals(pages(spark, folder), entropy_filter(PROSE_LIMIT)), "entropy")
 
 
-@query
+@query("language_tag")
 def language_tag(spark, folder):
     files = documents(spark, folder).select("path").unionByName(pages(spark, folder).select("path"))
     return with_language(files)
@@ -275,7 +278,7 @@ def language_tag(spark, folder):
 # Functions of a token
 
 
-@query
+@query("entropy_short")
 def entropy_short(spark, folder):
     rows = tokens(documents(spark, folder)).select("token").unionByName(tokens(pages(spark, folder)).select("token"))
     short = rows.distinct().filter(F.octet_length("token") < LONG_BYTES)
@@ -286,34 +289,34 @@ def entropy_short(spark, folder):
     )
 
 
-@query
+@query("entropy_long")
 def entropy_long(spark, folder):
     long = lines(documents(spark, folder)).filter(F.octet_length("line") >= LONG_BYTES)
     return long.select("path", "line_no", entropy_text(long_entropy(F.col("line"))).alias("entropy"))
 
 
-@query
+@query("token_entropy")
 def token_entropy(spark, folder):
     rows = lines(documents(spark, folder)).unionByName(lines(conversations(spark, folder)))
     return rows.select("path", "line_no", entropy_text(entropy(F.col("line"))).alias("entropy"))
 
 
-@query
+@query("entropy_filter")
 def entropy_scan(spark, folder):
     return flat(scan(documents(spark, folder), entropy_filter(PROSE_LIMIT)), "entropy")
 
 
-@query
+@query("complexity_filter")
 def complexity_scan(spark, folder):
     return flat(scan(documents(spark, folder), complexity_filter()), "complexity")
 
 
-@query
+@query("regex_filter")
 def regex_scan(spark, folder):
     return flat(scan(documents(spark, folder), regex_filter("sha1", RULES["sha1"])), "sha1")
 
 
-@query
+@query("regex_rules_join")
 def regex_rules_join(spark, folder):
     return rule_hits(documents(spark, folder), RULES).unionByName(rule_hits(pages(spark, folder), RULES))
 
@@ -321,32 +324,32 @@ def regex_rules_join(spark, folder):
 # Filter algebra
 
 
-@query
+@query("any_filters")
 def any_filters(spark, folder):
     either = any_of(complexity_filter(), None, entropy_filter(PROSE_LIMIT), regex_filter("email", RULES["email"]))
     return flat(scan(documents(spark, folder), either), "complexity", "entropy", "email")
 
 
-@query
+@query("all_filters")
 def all_filters(spark, folder):
     both = all_of(complexity_filter(), entropy_filter(LOOSE_LIMIT), None)
     return flat(scan(documents(spark, folder), both), "complexity", "entropy")
 
 
-@query
+@query("configured_filters")
 def configured_scan(spark, folder):
     every = configured_filters(PAGE_RULES, PROSE_LIMIT)
     return flat(scan(pages(spark, folder), every), "attribute", "number", "complexity", "entropy")
 
 
-@query
+@query("default_scan")
 def default_filter_scan(spark, folder):
     configured = configured_filters(PAGE_RULES, PAGE_LIMIT)
     effective = default_scan(PAGE_LIMIT, configured)
     return flat(scan(pages(spark, folder), effective), "attribute", "number", "complexity", "entropy")
 
 
-@query
+@query("detect_any_rule")
 def detect_any_rule_scan(spark, folder):
     detect = detect_any_rule(RULES, PROSE_LIMIT)
     found = scan(documents(spark, folder), detect).unionByName(scan(conversations(spark, folder), detect))
@@ -356,17 +359,17 @@ def detect_any_rule_scan(spark, folder):
 # Results
 
 
-@query
+@query("findings_by_file")
 def findings_by_file(spark, folder):
     return flat_hits(scan_by_file(documents(spark, folder), entropy_filter(LOOSE_LIMIT)))
 
 
-@query
+@query("hit_total")
 def hit_total(spark, folder):
     return derived.hit_total(scan(documents(spark, folder), prose_filter()))
 
 
-@query
+@query("scan_gate")
 def scan_gate(spark, folder):
     wide, narrow = entropy_filter(PROSE_LIMIT), entropy_filter(PAGE_LIMIT)
     return (
@@ -380,37 +383,37 @@ def scan_gate(spark, folder):
     )
 
 
-@query
+@query("admit_batch")
 def admit_batch(spark, folder):
     refused = derived.admit_batch(documents(spark, folder), entropy_filter(PROSE_LIMIT))
     admitted = derived.admit_batch(conversations(spark, folder), entropy_filter(PAGE_LIMIT))
     return refused.unionByName(admitted).select("path", "size")
 
 
-@query
+@query("clean_files")
 def clean_files(spark, folder):
     return derived.clean_files(documents(spark, folder), prose_filter()).select("path", "size")
 
 
-@query
+@query("quarantined_files")
 def quarantined_files(spark, folder):
     return derived.quarantined_files(documents(spark, folder), prose_filter()).select("path", "size")
 
 
-@query
+@query("merge_scans")
 def merge_scans(spark, folder):
     english = document_files(read_table(spark, folder, "documents", F.col("lang") == "en"))
     first = scan_by_file(documents(spark, folder), entropy_filter(LOOSE_LIMIT))
     return flat_hits(derived.merge_scans(first, scan_by_file(english, entropy_filter(PROSE_LIMIT))))
 
 
-@query
+@query("report_lines")
 def report_lines(spark, folder):
     found = derived.report_lines(scan(documents(spark, folder), prose_filter()))
     return found.orderBy("path", "line_no", "col", "part")
 
 
-@query
+@query("report_meta")
 def report_meta(spark, folder):
     return derived.report_meta(scan(documents(spark, folder), prose_filter()), AUTHOR, TIMESTAMP)
 
@@ -422,19 +425,19 @@ def secret_lines() -> TokenFilter:
     return any_of(regex_filter("sha1", RULES["sha1"]), regex_filter("email", RULES["email"]))
 
 
-@query
+@query("mask_lines")
 def mask_lines(spark, folder):
     masked = masking.mask_lines(documents(spark, folder), secret_lines())
     return masked.select("path", F.size("vault").alias("n_masked"), "text")
 
 
-@query
+@query("mask_reported")
 def mask_reported(spark, folder):
     files = documents(spark, folder)
     return masking.mask_reported(files, scan_by_file(files, entropy_filter(PROSE_LIMIT))).select("path", "text")
 
 
-@query
+@query("restore_lines")
 def restore_lines(spark, folder):
     stored = scratch_dir(spark, "masked")
     masking.mask_lines(documents(spark, folder), secret_lines()).write.parquet(stored)
@@ -445,12 +448,12 @@ def restore_lines(spark, folder):
 # Other corpora and streams
 
 
-@query
+@query("scan_pages")
 def scan_pages(spark, folder):
     return flat(scan(pages(spark, folder), any_of(complexity_filter(), entropy_filter(PAGE_LIMIT))), "complexity", "entropy")
 
 
-@query
+@query("scan_conversations")
 def scan_conversations(spark, folder):
     return flat(scan(conversations(spark, folder), entropy_filter(LOOSE_LIMIT)), "entropy")
 
@@ -460,7 +463,7 @@ def document_stream(spark: SparkSession, folder: str) -> DataFrame:
     return document_files(stream_table(spark, folder, schema, "documents.parquet"))
 
 
-@query
+@query("stream_scan")
 def stream_scan(spark, folder):
     run = scratch_dir(spark, "stream-scan")
     started = start_scan(
@@ -470,7 +473,7 @@ def stream_scan(spark, folder):
     return flat(spark.read.parquet(f"{run}/found"), "entropy")
 
 
-@query
+@query("stream_gate")
 def stream_gate(spark, folder):
     run = scratch_dir(spark, "stream-gate")
     started = start_gate(document_stream(spark, folder), prose_filter(), f"{run}/routed", f"{run}/checkpoint")

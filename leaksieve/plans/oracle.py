@@ -257,7 +257,7 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT * FROM ({_found('docs', prose, _E)}) WHERE path IN (SELECT path FROM docs "
             f"WHERE size <= 1048576 AND NOT ({_EXECUTABLE}) AND NOT {is_exempt} AND NOT ({_IGNORED}))"
         ),
-        "file_lines": _with(f"SELECT path, CAST(line_no AS INTEGER) AS line_no, line FROM {_lines('docs')}"),
+        "lines": _with(f"SELECT path, CAST(line_no AS INTEGER) AS line_no, line FROM {_lines('docs')}"),
         "fields_per_line": _with(
             f"""SELECT path, CAST(line_no AS INTEGER) AS line_no,
               CAST(len(list_filter(string_split_regex(line, {_quote(_WS)}), lambda x: x <> '')) AS INTEGER) AS n_fields
@@ -303,9 +303,9 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT path, CAST(line_no AS INTEGER) AS line_no, {_four(_entropy('line'))} AS entropy
               FROM (SELECT * FROM {_lines('docs')} UNION ALL SELECT * FROM {_lines('chats')})"""
         ),
-        "entropy_scan": _with(_found("docs", prose, _E)),
-        "complexity_scan": _with(_found("docs", _COMPLEX, _C)),
-        "regex_scan": _with(_found("docs", _rule("sha1"), f"{_value('sha1')} AS sha1")),
+        "entropy_filter": _with(_found("docs", prose, _E)),
+        "complexity_filter": _with(_found("docs", _COMPLEX, _C)),
+        "regex_filter": _with(_found("docs", _rule("sha1"), f"{_value('sha1')} AS sha1")),
         "regex_rules_join": _with(
             f"SELECT path, CAST(line_no AS INTEGER) AS line_no, CAST(col AS INTEGER) AS col, header, value FROM ({rules})",
             f"all_tokens AS (SELECT * FROM {_tokens('docs')} UNION ALL SELECT * FROM {_tokens('webs')})",
@@ -316,8 +316,8 @@ def oracle_sql() -> dict[str, str]:
             )
         ),
         "all_filters": _with(_found("docs", f"{_COMPLEX} AND {loose}", _C, _E)),
-        "configured_scan": _with(_found("webs", f"{page_rules} AND {prose}", *page_evidence, _C, _E)),
-        "default_filter_scan": _with(
+        "configured_filters": _with(_found("webs", f"{page_rules} AND {prose}", *page_evidence, _C, _E)),
+        "default_scan": _with(
             _found(
                 "webs",
                 page,
@@ -326,7 +326,7 @@ def oracle_sql() -> dict[str, str]:
                 _E,
             )
         ),
-        "detect_any_rule_scan": _with(
+        "detect_any_rule": _with(
             _found("docs", detect, *detect_evidence) + " UNION ALL " + _found("chats", detect, *detect_evidence)
         ),
         "findings_by_file": _with(_hits_text(scanned)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leaksieve import any_of, complexity_filter, entropy_filter, regex_filter, scan, scan_by_file
 from leaksieve.operators import findings as derived
 from leaksieve.operators.masking import MARKER, mask_lines, mask_reported, restore_lines, vault_rows
-from leaksieve.operators.snapshots import changed_files, scan_changed, snapshot_status
+from leaksieve.operators.snapshots import changed_files, digests, scan_changed, snapshot_status
 from leaksieve.sources import ignorefile, reports
 
 SECRET = "aB3$kL9@mX2#pQ5!rT8&nV1^wY4*uI7"
@@ -146,6 +146,10 @@ def test_snapshots(files_of):
     assert {r.path for r in changed_files(before, after).collect()} == {"changed", "fresh", "plain", "to-null"}
     assert set(by_file(scan_changed(before, after, entropy_filter(4.0)))) == {"changed", "fresh"}
     assert set(by_file(scan_changed(before, after, entropy_filter(4.0), max_file_size=31))) == {"fresh"}
+    stored = digests(before)
+    assert stored.columns == ["path", "digest"]
+    assert {r.path for r in changed_files(stored, after).collect()} == {"changed", "fresh", "plain", "to-null"}
+    assert set(by_file(scan_changed(stored, after, entropy_filter(4.0)))) == {"changed", "fresh"}
 
 
 def test_stream_equals_batch(spark, files_of, tmp_path):

@@ -1,3 +1,6 @@
+import random
+import string
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ from leaksieve import (
     scan_paths,
 )
 from leaksieve.operators.findings import explode_hits
-from leaksieve.operators.scan import has_hit, rule_hits
+from leaksieve.operators.scan import has_hit, rule_hits, scan_literals
 
 SAMPLES = {
     "clean.go": 'package clean\n\nfunc Hello() string {\n\treturn "Hello, World!"\n}\n',
@@ -181,3 +184,15 @@ def test_one_file_with_a_third_of_all_rows(files_of):
     texts = {"giant": giant, **{f"small{n}": "plain words\naB3$kL9@mX2#pQ5!z" for n in range(200)}}
     match = lambda token: round(brute.entropy(token), 9) > 3.9
     assert places(scan(files_of(texts), entropy_filter(3.9))) == brute.hits(texts, match)
+
+
+def test_very_long_tokens(files_of):
+    rng = random.Random(3)
+    texts = {
+        "blob": "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=300_000)),
+        "run": "ab" * 200_000,
+        "quotes": "x" + "\\'" * 100_000,
+    }
+    found = {row.path: row.payload["entropy"] for row in scan(files_of(texts), entropy_filter(0.5)).collect()}
+    assert found == {path: f"{brute.entropy(text):.4f}" for path, text in texts.items()}
+    assert scan_literals(files_of({"a.py": "'" + texts["quotes"] + "'"}), entropy_filter(0.5)).count() == 1

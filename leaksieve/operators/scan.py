@@ -119,6 +119,8 @@ def rule_hits(files: DataFrame, rules: dict[str, str], keep: tuple[str, ...] = (
     one projection. Patterns that came from a joined column would be compiled
     anew for each pair.
     """
+    if not rules:
+        raise ValueError("no rules")
     members = regex_filters(rules)
     either = any_of(*members)
     hits = tokens(files.filter(has_hit(F.col("text"), either)), keep).filter(either.match(F.col("token")))

@@ -8,6 +8,7 @@ folder by whichever task holds it, and the levels stored as tables.
 from __future__ import annotations
 
 import logging
+import math
 import os
 import stat
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ from leaksieve.session import scratch_dir
 _LISTED = T.StructType([*MANIFEST.fields, T.StructField("is_folder", T.BooleanType())])
 _BATCH_ROWS = 10_000
 _BATCH_BYTES = 32 * 1024 * 1024
+_TASK_BYTES = 128 * 1024 * 1024
 _READ = T.StructType([*FILES.fields, T.StructField("valid_utf8", T.BooleanType())])
 _READ_BLOCKS = T.StructType([*_READ.fields, T.StructField("line_base", T.LongType())])
 
@@ -91,7 +93,6 @@ def read_files(manifest: DataFrame, root: str, block_bytes: int | None = None) -
     lines, with ``line_base`` lines before each; operators that need a file in
     one row refuse such a table.
     """
-    width = manifest.sparkSession.sparkContext.defaultParallelism
     schema = _READ if block_bytes is None else _READ_BLOCKS
 
     def blocks(path: str) -> Iterator[tuple[bytes, int]]:
@@ -132,5 +133,8 @@ def read_files(manifest: DataFrame, root: str, block_bytes: int | None = None) -
         if rows:
             yield pd.DataFrame(rows, columns=schema.names)
 
-    # Few manifest rows stand for much text, so the paths are spread before reading.
-    return manifest.select(*MANIFEST.names).repartition(4 * width, "path").mapInPandas(read, schema)
+    # A manifest row stands for as many bytes as its file has, so the task count follows the bytes.
+    total = manifest.agg(F.sum("size")).first()[0] or 0
+    width = manifest.sparkSession.sparkContext.defaultParallelism
+    tasks = max(width, math.ceil(total / _TASK_BYTES))
+    return manifest.select(*MANIFEST.names).repartition(tasks, "path").mapInPandas(read, schema)

@@ -25,7 +25,7 @@ from leaksieve.functions.entropy import (
     short_entropy,
     standard_entropy,
 )
-from leaksieve.functions.regexes import check_pattern, relaxed_regex
+from leaksieve.functions.regexes import check_pattern, check_patterns, relaxed_regex
 from leaksieve.functions.text import fields_from
 
 Evidence = dict[str, Column]
@@ -153,6 +153,7 @@ def all_of(*members: TokenFilter | None) -> TokenFilter:
 
 
 def regex_filters(rules: Mapping[str, str]) -> list[TokenFilter]:
+    check_patterns(rules.values())
     return [regex_filter(header, pattern) for header, pattern in rules.items()]
 
 

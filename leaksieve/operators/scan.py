@@ -122,8 +122,7 @@ def rule_hits(files: DataFrame, rules: dict[str, str], keep: tuple[str, ...] = (
     if not rules:
         raise ValueError("no rules")
     members = regex_filters(rules)
-    either = any_of(*members)
-    hits = tokens(files.filter(has_hit(F.col("text"), either)), keep).filter(either.match(F.col("token")))
+    asked = tokens(files.filter(has_hit(F.col("text"), any_of(*members))), keep)
     verdicts = [
         F.when(
             member.match(F.col("token")),
@@ -131,5 +130,5 @@ def rule_hits(files: DataFrame, rules: dict[str, str], keep: tuple[str, ...] = (
         )
         for header, member in zip(rules, members)
     ]
-    found = hits.select(*keep, "line_no", "col", F.explode(F.array_compact(F.array(*verdicts))).alias("found"))
+    found = asked.select(*keep, "line_no", "col", F.explode(F.array_compact(F.array(*verdicts))).alias("found"))
     return found.select(*keep, "line_no", "col", "found.header", "found.value")

@@ -18,7 +18,7 @@ from leaksieve.functions import (
     to_java_regex,
 )
 from leaksieve.functions.entropy import standard_entropy
-from leaksieve.functions.regexes import relaxed_regex
+from leaksieve.functions.regexes import check_patterns, relaxed_regex
 
 # Text, entropy to four decimals, complexity match.
 VECTORS = [
@@ -134,6 +134,12 @@ def test_bad_patterns_are_refused(spark, pattern):
         check_pattern(pattern)
 
 
+def test_the_bad_one_of_many_patterns_is_named(spark):
+    with pytest.raises(ValueError, match="oops"):
+        check_patterns(["good", "(oops", "fine"])
+    assert check_patterns(["a", "b", "a"]) == ["a", "b"]
+
+
 def test_look_around_has_no_text_test():
     assert relaxed_regex("a(?=b)") is None
     assert to_java_regex("a(?=b)") == "a(?=b)"

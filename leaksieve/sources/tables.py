@@ -6,22 +6,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# What identifies a row of each table.
+KEYS = {
+    "documents": ("doc_id",),
+    "pages": ("page_id",),
+    "conversations": ("conv_id", "turn"),
+    "labels": ("doc_id",),
+}
+
+
 def read_table(spark: SparkSession, folder: str, name: str, where: Column | None = None) -> DataFrame:
     """The rows of one table that satisfy ``where``, spread over the cluster if its scan alone cannot be.
 
-    A table with fewer splits than twice the cores (often one row group, hence
-    one busy task) is redistributed. A large one is left as it is read, so its
-    text never goes through a shuffle here.
+    A table of fewer files than cores (often one row group, hence one busy task)
+    is redistributed by its key. A larger one is left as it is read, so its text
+    never goes through a shuffle here.
     """
     table = spark.read.parquet(f"{folder}/{name}.parquet")
     if where is not None:
         table = table.filter(where)
     width = spark.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= 2 * width:
+    if table.rdd.getNumPartitions() >= 2 * width or len(table.inputFiles()) >= width:
         return table
-    # The test holds for every row. Being non-deterministic it keeps later
-    # filters above the exchange; below it they would run in the few tasks again.
-    return table.repartition(width).filter(F.spark_partition_id() >= 0)
+    # By key and not in turn: the latter would sort whole texts first. The test
+    # holds for every row; being non-deterministic it keeps later filters above
+    # the exchange, since below it they would run in the few tasks again.
+    return table.repartition(width, *KEYS[name]).filter(F.spark_partition_id() >= 0)
 
 
 def as_files(table: DataFrame, path: Column, text: Column, mode: Column | None = None) -> DataFrame:

@@ -51,7 +51,7 @@ def test_plan(spark, name):
     moved = [
         block.split("Input [", 1)[1].split("\n")[0]
         for block in plan.split("\n\n")
-        if "Exchange\n" in block and "RoundRobin" not in block
+        if "Exchange\n" in block and "REPARTITION_BY_NUM" not in block
     ]
     if name not in ("restore_lines", "mask_reported"):
         assert not any("text#" in columns or "html#" in columns for columns in moved)

@@ -173,7 +173,8 @@ def merge_ignore_rules(spark, folder):
         F.col("doc_id").alias("line_no"), F.concat(F.lit("  "), F.col("path"), F.lit("\t ")).alias("line")
     )
     flagged = ignorefile.ignore_list(scan(documents(spark, folder), prose_filter()))
-    return ignorefile.merge_rules(existing, flagged.select(F.col("path").alias("entry")))
+    merged = ignorefile.merge_rules(existing, flagged.select(F.col("path").alias("entry")))
+    return merged.fillna({"line_no": -1, "entry": ""})
 
 
 # File predicates

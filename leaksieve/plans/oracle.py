@@ -233,10 +233,10 @@ def oracle_sql() -> dict[str, str]:
         "ignore_list": _with(f"SELECT DISTINCT path FROM ({prose_hits})"),
         "merge_ignore_rules": _with(
             f"""SELECT CAST(doc_id AS INTEGER) AS line_no, 0 AS part, '  '||path||chr(9)||' ' AS line,
-                     CAST(NULL AS VARCHAR) AS entry
+                     '' AS entry
               FROM docs WHERE path IN (SELECT path FROM scored WHERE {_COMPLEX})
               UNION ALL
-              SELECT CAST(NULL AS INTEGER), part, CASE part WHEN 0 THEN {_quote(ADDED_NOTE)} ELSE path END, path
+              SELECT CAST(-1 AS INTEGER), part, CASE part WHEN 0 THEN {_quote(ADDED_NOTE)} ELSE path END, path
               FROM (SELECT DISTINCT path FROM scored WHERE {_PROSE}), (VALUES (0), (1)) AS p(part)
               WHERE path NOT IN (SELECT path FROM scored WHERE {_COMPLEX})""",
             f"scored AS {_scored('docs')}",

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,56 +85,111 @@ def list_folder(spark: SparkSession, root: str) -> DataFrame:
     return listed.filter(~F.col("is_folder")).drop("is_folder")
 
 
-def read_files(manifest: DataFrame, root: str, block_bytes: int | None = None) -> DataFrame:
+def _decode(content: bytes) -> tuple[str, bool]:
+    try:
+        return content.decode("utf-8"), True
+    except UnicodeDecodeError:
+        return content.decode("utf-8", errors="replace"), False
+
+
+def _batches(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows whose fifth field is a text, in frames of bounded size."""
+    held: list[tuple] = []
+    length = 0
+    for row in rows:
+        held.append(row)
+        length += len(row[4])
+        if length >= _BATCH_BYTES:
+            yield pd.DataFrame(held, columns=columns)
+            held, length = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
+def _tasks(manifest: DataFrame) -> int:
+    """A manifest row stands for as many bytes as its file has, so the task count follows the bytes."""
+    total = manifest.agg(F.sum("size")).first()[0] or 0
+    return max(manifest.sparkSession.sparkContext.defaultParallelism, math.ceil(total / _TASK_BYTES))
+
+
+def read_files(manifest: DataFrame, root: str) -> DataFrame:
     """Add the text of each file of a (filtered) manifest; unreadable files are dropped.
 
     Bytes that are not UTF-8 become replacement characters, and ``valid_utf8``
-    says so. With ``block_bytes`` a large file comes as several rows of whole
-    lines, with ``line_base`` lines before each; operators that need a file in
-    one row refuse such a table.
+    says so.
     """
-    schema = _READ if block_bytes is None else _READ_BLOCKS
 
-    def blocks(path: str) -> Iterator[tuple[bytes, int]]:
-        with open(os.path.join(root, path), "rb") as handle:
-            if block_bytes is None:
-                yield handle.read(), 0
-                return
-            base = 0
-            lines = handle.readlines(block_bytes)
-            while lines or base == 0:
-                yield b"".join(lines), base
-                if not lines:
-                    return
-                base += len(lines)
-                lines = handle.readlines(block_bytes)
-
-    def decode(content: bytes) -> tuple[str, bool]:
-        try:
-            return content.decode("utf-8"), True
-        except UnicodeDecodeError:
-            return content.decode("utf-8", errors="replace"), False
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        held = 0
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            for row in batch[MANIFEST.names].itertuples(index=False):
+            for row in batch.itertuples(index=False):
                 try:
-                    for content, base in blocks(row.path):
-                        text, valid = decode(content)
-                        rows.append((*row, text, valid, base)[: len(schema)])
-                        held += len(content)
-                        if held >= _BATCH_BYTES:
-                            yield pd.DataFrame(rows, columns=schema.names)
-                            rows, held = [], 0
+                    with open(os.path.join(root, row.path), "rb") as handle:
+                        yield (*row, *_decode(handle.read()))
                 except OSError as error:
                     log.warning("cannot read %s: %s", row.path, error)
-        if rows:
-            yield pd.DataFrame(rows, columns=schema.names)
 
-    # A manifest row stands for as many bytes as its file has, so the task count follows the bytes.
-    total = manifest.agg(F.sum("size")).first()[0] or 0
-    width = manifest.sparkSession.sparkContext.defaultParallelism
-    tasks = max(width, math.ceil(total / _TASK_BYTES))
-    return manifest.select(*MANIFEST.names).repartition(tasks, "path").mapInPandas(read, schema)
+    spread = manifest.select(*MANIFEST.names).repartition(_tasks(manifest), "path")
+    return spread.mapInPandas(lambda batches: _batches(texts(batches), _READ.names), _READ)
+
+
+def read_blocks(manifest: DataFrame, root: str, block_bytes: int = _TASK_BYTES) -> DataFrame:
+    """As ``read_files``, but a large file comes as several rows of whole lines, each read by its own task.
+
+    ``line_base`` is the number of lines before a row. To know it, the line
+    feeds of files beyond one block are counted first, block by block as well.
+    Operators that need a file in one row refuse such a table.
+    """
+    offsets = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(block_bytes).cast("bigint"))
+    blocks = manifest.select(*MANIFEST.names, F.explode(offsets).alias("offset"))
+    tasks = _tasks(manifest)
+
+    def feeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def count(path: str, size: int, offset: int) -> int:
+            if size <= block_bytes:
+                return 0
+            try:
+                with open(os.path.join(root, path), "rb") as handle:
+                    handle.seek(offset)
+                    return handle.read(block_bytes).count(b"\n")
+            except OSError:
+                return 0
+
+        for batch in batches:
+            yield batch.assign(feeds=[count(*key) for key in zip(batch["path"], batch["size"], batch["offset"])])
+
+    counted = T.StructType([*MANIFEST.fields, T.StructField("offset", T.LongType()), T.StructField("feeds", T.LongType())])
+    stored = scratch_dir(manifest.sparkSession, "blocks")
+    blocks.repartition(tasks, "path", "offset").mapInPandas(feeds, counted).write.parquet(stored)
+    # One row per block, so a window holds a file's size over the block size.
+    earlier = Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("feeds").over(earlier), F.lit(0)).alias("before")
+    placed = manifest.sparkSession.read.schema(counted).parquet(stored).select(*MANIFEST.names, "offset", before)
+
+    def lines(path: str, offset: int, last: bool) -> tuple[bytes, int]:
+        """The lines that start within a block, and how many it skips before them."""
+        with open(os.path.join(root, path), "rb") as handle:
+            if offset:
+                handle.seek(offset - 1)
+                handle.readline()
+            start, end = handle.tell(), offset + block_bytes
+            if last:
+                content = handle.read()
+            else:
+                content = handle.read(max(end - start, 0))
+                if content and not content.endswith(b"\n"):
+                    content += handle.readline()
+            return content, int(start > offset)
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for batch in batches:
+            for *row, offset, earlier_feeds in batch.itertuples(index=False):
+                try:
+                    content, skipped = lines(row[0], offset, offset + block_bytes >= row[1])
+                except OSError as error:
+                    log.warning("cannot read %s: %s", row[0], error)
+                    continue
+                if content or offset == 0:
+                    yield (*row, *_decode(content), earlier_feeds + skipped)
+
+    spread = placed.repartition(tasks, "path", "offset")
+    return spread.mapInPandas(lambda batches: _batches(texts(batches), _READ_BLOCKS.names), _READ_BLOCKS)

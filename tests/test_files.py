@@ -1,5 +1,6 @@
 import logging
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from leaksieve import ScanConfig, entropy_filter, scan
 from leaksieve.model import DEFAULT_EXEMPT
 from leaksieve.operators.files import eligible, exempt_by_name, exempt_by_path, is_executable, is_exempt
 from leaksieve.operators.languages import EXTENSIONS, with_language
-from leaksieve.sources.folder import list_folder, read_files
+from leaksieve.sources.folder import list_folder, read_blocks, read_files
 
 SECRET = 'key = "aB3$kL9@mX2#pQ5!rT8&nV1^wY4*uI7"\n'
 
@@ -101,16 +102,34 @@ def test_folder_scan(spark, tree):
 
 def test_reading_in_blocks(spark, tree):
     manifest = list_folder(spark, tree).filter("path = '_hidden/deep/er/config.go' or path = 'empty.txt'")
-    rows = sorted((r.path, r.line_base, r.text) for r in read_files(manifest, tree, block_bytes=5).collect())
+    rows = sorted((r.path, r.line_base, r.text) for r in read_blocks(manifest, tree, 10).collect())
     assert rows == [
         ("_hidden/deep/er/config.go", 0, "package x\n"),
         ("_hidden/deep/er/config.go", 1, SECRET),
         ("empty.txt", 0, ""),
     ]
-    found = scan(read_files(manifest, tree, block_bytes=5), entropy_filter(4.0)).collect()
+    found = scan(read_blocks(manifest, tree, 10), entropy_filter(4.0)).collect()
     assert [(row.path, row.line_no, row.col) for row in found] == [("_hidden/deep/er/config.go", 2, 3)]
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 64, 10_000])
+def test_blocks_join_to_the_file(spark, tmp_path, block):
+    rng = random.Random(block)
+    texts = {f"f{n}": "".join(rng.choices("ab\né", k=rng.randrange(60))) for n in range(12)}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    got = {}
+    for row in read_blocks(list_folder(spark, str(tmp_path)), str(tmp_path), block).collect():
+        got.setdefault(row.path, []).append((row.line_base, row.text))
+    for name, text in texts.items():
+        pieces = [piece for _, piece in sorted(got[name])]
+        assert "".join(pieces) == text
+        at = 0
+        for base, piece in sorted(got[name]):
+            assert base == text[:at].count("\n")
+            at += len(piece)
+
+
 def test_empty_and_missing_folders(spark, tmp_path):
     assert list_folder(spark, str(tmp_path)).count() == 0
     with pytest.raises(Exception):

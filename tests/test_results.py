@@ -2,7 +2,6 @@ import glob
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from leaksieve import any_of, complexity_filter, entropy_filter, regex_filter, scan, scan_by_file
 from leaksieve.operators import findings as derived

@@ -7,16 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .decontaminate import contaminated
 from .jaccard import shingle_components
+from .mixing import mix_sources
+from .quality import score_quality
+from .sharding import shard_plan
+
+
+def op2_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(read(spark, folder, "documents"))
+
+
+def op5_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_plan(read(spark, folder, "documents"))
 
 
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_components(read(spark, folder, "documents"), k=4, percent=85)
 
 
+def op8_simhash_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op10_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
 
 
+# 52 bits of an md5, in the middle of their step: between 0 and 1.
+_UNIT = "(('0x' || md5({})[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0"
+
+_MIX = f"""
+WITH stats AS (SELECT source, sum(coalesce(strlen(text), 0))::DOUBLE AS bytes FROM documents GROUP BY source),
+rates AS (SELECT source, CASE WHEN bytes > 0 THEN
+    sqrt(bytes) / (SELECT sum(sqrt(bytes)) FROM stats) * (SELECT sum(bytes) FROM stats) / bytes ELSE 1.0 END AS rate FROM stats),
+pieces AS (SELECT source, greatest(1, ceil(rate / 16))::INT AS n, rate / greatest(1, ceil(rate / 16)) AS m FROM rates),
+sums AS (SELECT source, n, sum(exp(-m + k * ln(m) - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS c
+    FROM pieces, generate_series(0, 80) AS t(k)),
+tables AS (SELECT source, n, list(c) AS c FROM sums GROUP BY source, n),
+draws AS (SELECT d.*, list_sum([len(list_filter(t.c, lambda x: x < {_UNIT.format("coalesce(d.doc_id::VARCHAR, '') || ':' || i || ':2'")}))
+    for i in range(1, t.n + 1)])::INT AS copies FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(copies))::INT AS copy FROM draws WHERE copies > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_poisson_mix": _MIX}

@@ -5,13 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import digests, format_conversations
 from .common import read
 from .decontaminate import contaminated
 from .jaccard import shingle_components
 from .mixing import mix_sources
 from .quality import score_quality
 from .sharding import shard_plan
+from .urls import judge_urls
+
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
 
 
 def op2_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,10 +37,23 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_components(read(spark, folder, "documents"), k=4, percent=85)
 
 
+def op7_url_language_models(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(read(spark, folder, "pages"), URL_RULES)
+
+
 def op8_simhash_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op9_chat_rendering(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ("conv_id", "turn", "role", "text")
+    text = "\\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    made = format_conversations(read(spark, folder, "conversations").select(*columns).unionByName(extra))
+    read_back = made.select("conv_id", digests(F.col("formatted"), F.col("spans")).alias("d"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read_back.select("conv_id", "d.*", "formatted_chars")
+
+
 def op10_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
 

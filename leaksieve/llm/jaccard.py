@@ -34,8 +34,9 @@ from .common import small, stored
 from .components import components
 from .words import Words, mixed, packed, sets, steps
 
-BITS = 512
 LEAF = 16
+#: Bits of a signature at most.
+MOST_BITS = 1 << 14
 #: Members and bytes of text of a group that one task takes at once.
 BLOCK_ROWS = 2000
 BLOCK_BYTES = 16 << 20
@@ -135,35 +136,28 @@ def _key_rows(k: int, percent: int):
     return run
 
 
-class Forest:
-    """Components of the members of one block while links arrive."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-
-
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-
 class SignatureTree:
-    """Binary tree over sets: OR-combined bitmaps, size ranges, and how many elements share a bit at most."""
+    """Binary tree over the sets of a block: OR-combined bitmaps and size ranges.
+
+    A bit stands for an element that at least two of the sets hold; beyond
+    ``MOST_BITS`` of those several share a bit, and ``exact`` is false. Then
+    ``spare`` is how many elements of a set at most have no bit of their own.
+    """
 
     def __init__(self, values: np.ndarray, first: np.ndarray) -> None:
         n = len(first) - 1
         self.sizes = np.diff(first)
-        maps = np.zeros((n, BITS), np.uint8)
-        maps[np.repeat(np.arange(n), self.sizes), (values % np.uint64(BITS)).astype(np.int64)] = 1
-        self.maps = np.packbits(maps, axis=1)
-        self.spare = self.sizes - _ONES[self.maps].sum(1, dtype=np.int64)
+        distinct, place, times = np.unique(values, return_inverse=True, return_counts=True)
+        shared = times > 1
+        bit = np.cumsum(shared) - 1
+        self.exact = int(shared.sum()) <= MOST_BITS
+        width = max(64, min(MOST_BITS, -(-int(shared.sum()) // 64) * 64))
+        keep = shared[place]
+        owner, bits = np.repeat(np.arange(n), self.sizes)[keep], bit[place[keep]] % width
+        maps = np.zeros((n, width // 8), np.uint8)
+        np.bitwise_or.at(maps, (owner, bits >> 3), (1 << (bits & 7)).astype(np.uint8))
+        self.maps = maps.view(np.uint64)
+        self.spare = np.bincount(owner, minlength=n) - np.bitwise_count(self.maps).sum(1, dtype=np.int64)
         order = np.lexsort([*self.maps[:, :4].T, self.sizes])
         self.nodes: list[tuple] = []
         self.top = self._node(order) if n else -1
@@ -172,7 +166,7 @@ class SignatureTree:
         own = len(self.nodes)
         self.nodes.append(())
         inner = () if len(rows) <= LEAF else (self._node(rows[: len(rows) // 2]), self._node(rows[len(rows) // 2 :]))
-        union = np.bitwise_or.reduce(self.maps[rows], axis=0)
+        union = np.bitwise_or.reduce([self.nodes[i][1] for i in inner] if inner else self.maps[rows], axis=0)
         self.nodes[own] = (rows, union, int(self.sizes[rows].min()), int(self.sizes[rows].max()), int(self.spare[rows].max()), inner)
         return own
 
@@ -180,10 +174,16 @@ class SignatureTree:
         """Whether the largest overlap two nodes allow could link any of their pairs."""
         _, map_a, low_a, high_a, spare_a, _ = self.nodes[a]
         _, map_b, low_b, high_b, spare_b, _ = self.nodes[b]
-        bits = int(_ONES[map_a & map_b].sum(dtype=np.int64))
-        overlap = min(bits + min(spare_a, spare_b), high_a, high_b)
+        overlap = min(int(np.bitwise_count(map_a & map_b).sum()) + min(spare_a, spare_b), high_a, high_b)
         return 100 * overlap >= percent * (max(low_a, overlap) + max(low_b, overlap) - overlap)
 
+    def overlaps(self, rows_a: np.ndarray, rows_b: np.ndarray) -> np.ndarray:
+        """The overlap of each pair: the true one if ``exact``, else no less than it."""
+        out = np.empty((len(rows_a), len(rows_b)), np.int64)
+        for i, row in enumerate(rows_a.tolist()):
+            out[i] = np.bitwise_count(self.maps[rows_b] & self.maps[row]).sum(1, dtype=np.int64)
+        return out + np.minimum(self.spare[rows_a][:, None], self.spare[rows_b][None, :])
+
 
 def block_links(values: np.ndarray, first: np.ndarray, percent: int, labels: np.ndarray, visits: np.ndarray) -> list[tuple[int, int]]:
     """Links that join the members of a block, as far as they join what labels and earlier links don't.
@@ -191,44 +191,43 @@ def block_links(values: np.ndarray, first: np.ndarray, percent: int, labels: np.
     ``labels`` are components known before; ``visits`` marks members that
     came from another block: pairs of two visitors are another block's work.
     """
-    tree, n = SignatureTree(values, first), len(first) - 1
-    forest, found = Forest(n), []
-    known: dict[int, int] = {}
-    for i, label in enumerate(labels.tolist()):
-        forest.join(i, known.setdefault(label, i))
-    sizes, maps, spare = tree.sizes, tree.maps, tree.spare
-    sets_of = [values[first[i] : first[i + 1]] for i in range(n)]
-    stack = [(tree.top, tree.top)] if n else []
+    tree = SignatureTree(values, first)
+    joined = np.unique(labels, return_inverse=True)[1]
+    sizes, found = tree.sizes, []
+    stack = [(tree.top, tree.top)] if len(first) > 1 else []
     while stack:
         a, b = stack.pop()
-        if not tree.may_link(a, b, percent):
-            continue
         rows_a, rows_b = tree.nodes[a][0], tree.nodes[b][0]
+        ours, theirs = joined[rows_a], joined[rows_b]
+        if (ours == theirs[0]).all() and (theirs == theirs[0]).all() or not tree.may_link(a, b, percent):
+            continue
         inner_a, inner_b = tree.nodes[a][5], tree.nodes[b][5]
-        roots = {forest.root(i) for i in rows_a.tolist()}
-        if len(roots) == 1 and (a == b or roots == {forest.root(i) for i in rows_b.tolist()}):
+        if a == b and inner_a:
+            stack += [inner_a, (inner_a[1], inner_a[1]), (inner_a[0], inner_a[0])]
             continue
-        if inner_a and (not inner_b or len(rows_a) >= len(rows_b)):
-            if a == b:
-                stack += [(inner_a[0], inner_a[1]), (inner_a[1], inner_a[1]), (inner_a[0], inner_a[0])]
-            else:
-                stack += [(inner_a[1], b), (inner_a[0], b)]
+        if inner_a and len(rows_a) >= len(rows_b):
+            stack += [(inner_a[1], b), (inner_a[0], b)]
             continue
         if inner_b:
             stack += [(a, inner_b[1]), (a, inner_b[0])]
             continue
-        overlap = _ONES[maps[rows_a][:, None, :] & maps[rows_b][None, :, :]].sum(2, dtype=np.int64)
-        overlap += np.minimum(spare[rows_a][:, None], spare[rows_b][None, :])
-        overlap = np.minimum(overlap, np.minimum(sizes[rows_a][:, None], sizes[rows_b][None, :]))
-        union = sizes[rows_a][:, None] + sizes[rows_b][None, :] - overlap
-        for p, q in np.argwhere(100 * overlap >= percent * union).tolist():
+        overlap = tree.overlaps(rows_a, rows_b)
+        near = 100 * overlap >= percent * (sizes[rows_a][:, None] + sizes[rows_b][None, :] - overlap)
+        near &= ~(visits[rows_a][:, None] & visits[rows_b][None, :])
+        while True:
+            open_pairs = np.flatnonzero(near & (joined[rows_a][:, None] != joined[rows_b][None, :]))
+            if not len(open_pairs):
+                break
+            p, q = divmod(int(open_pairs[0]), len(rows_b))
             i, j = int(rows_a[p]), int(rows_b[q])
-            if (a == b and i >= j) or (visits[i] and visits[j]) or forest.root(i) == forest.root(j):
-                continue
-            both = len(np.intersect1d(sets_of[i], sets_of[j], assume_unique=True))
-            if 100 * both >= percent * (len(sets_of[i]) + len(sets_of[j]) - both):
-                forest.join(i, j)
-                found.append((i, j))
+            near[p, q] = False
+            if not tree.exact:
+                x, y = values[first[i] : first[i + 1]], values[first[j] : first[j + 1]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both < percent * (len(x) + len(y) - both):
+                    continue
+            found.append((i, j))
+            joined[joined == joined[j]] = joined[i]
     return found
 
 
@@ -247,9 +246,22 @@ def _link_rows(k: int, percent: int):
             ids, labels = ids[own], labels[own]
         visits = rows.column("visit").to_numpy(zero_copy_only=False)[own]
         found = block_links(values, first, percent, labels, visits)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], ["a", "b"]
-        )
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        # As stars: later joins then take few rounds.
+        root: dict[int, int] = {}
+        for i, j in ids[ends].tolist():
+            while i in root:
+                i = root[i]
+            while j in root:
+                j = root[j]
+            if i != j:
+                root[max(i, j)] = min(i, j)
+        nodes, tops = list(root), []
+        for node in nodes:
+            while node in root:
+                node = root[node]
+            tops.append(node)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tops, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -306,9 +318,9 @@ def shingle_components(
     classes = sized.filter("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("id"))
 
     keys = docs.filter("id is not null").select(F.col("text").cast("binary").alias("text")).mapInArrow(_key_rows(k, percent), "key long, class long")
-    # Consecutive classes of a key are tied: a chain, read in one pass and with nothing kept.
-    before = F.lag("class").over(Window.partitionBy("key").orderBy("class"))
-    ties = keys.select(before.alias("a"), F.col("class").alias("b")).filter("a < b").distinct()
+    # All classes of a key are tied to its first: a star, made in one pass over the sorted rows with none of them kept.
+    least = F.first("class").over(Window.partitionBy("key").orderBy("class"))
+    ties = keys.select(least.alias("a"), F.col("class").alias("b")).filter("a < b").distinct()
     groups = components(ties).withColumnsRenamed({"node": "class", "root": "unit"})
     members = classes.join(groups, "class").join(sized.groupBy("class").agg(F.first("n").alias("n")), "class")
     members = stored(members)
@@ -347,9 +359,14 @@ def _visits(docs: DataFrame, dealt: DataFrame, links: DataFrame, k: int, percent
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows whose id is the smallest of its component; rows equal in id and text leave one, null ids stay."""
+    """The rows whose id is the smallest of its component; null ids stay, rows equal in id and text leave one."""
     found = shingle_components(docs, id_column, text_column, k, percent)
-    kept = stored(found.filter(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("__kept")).distinct())
-    keyed = docs.filter(F.col(id_column).isNotNull()).dropDuplicates([id_column])
-    keyed = docs.filter(F.col(id_column).isNotNull()).join(small(kept), F.col(id_column) == F.col("__kept"), "left_semi")
-    return keyed.unionAll(docs.filter(F.col(id_column).isNull()))
+    kept = found.filter(F.col(id_column) == F.col("component_id")).groupBy(F.col(id_column).alias("__kept")).agg((F.count("*") > 1).alias("__again"))
+    kept = stored(kept)
+    keyed = docs.filter(F.col(id_column).isNotNull())
+    once = keyed.join(small(kept.filter("not __again").select("__kept")), F.col(id_column) == F.col("__kept"), "left_semi")
+    again = kept.filter("__again").select("__kept")
+    if again.limit(1).count():
+        some = keyed.join(again, F.col(id_column) == F.col("__kept"), "left_semi")
+        once = once.unionAll(some.dropDuplicates([id_column, text_column]))
+    return once.unionAll(docs.filter(F.col(id_column).isNull()))

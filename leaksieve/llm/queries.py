@@ -14,6 +14,7 @@ from .jaccard import shingle_components
 from .mixing import mix_sources
 from .quality import score_quality
 from .sharding import shard_plan
+from .topk import top_inner_products
 from .urls import judge_urls
 
 URL_RULES = (
@@ -29,6 +30,10 @@ def op2_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(read(spark, folder, "documents"))
 
 
+def op4_ball_tree_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return top_inner_products(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard_plan(read(spark, folder, "documents"))
 
@@ -79,5 +84,15 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(copies))::INT AS copy F
 """
 
 
+_TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_poisson_mix": _MIX}
+    return {"op2_poisson_mix": _MIX, "op4_ball_tree_topk": _TOPK}

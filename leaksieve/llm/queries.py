@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import digests, format_conversations
 from .common import read
 from .decontaminate import contaminated
+from .html_blocks import extract_main_text
 from .jaccard import shingle_components
 from .mixing import mix_sources
 from .quality import score_quality
@@ -26,6 +27,10 @@ URL_RULES = (
 )
 
 
+def op1_recurrent_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(read(spark, folder, "pages"))
+
+
 def op2_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(read(spark, folder, "documents"))
 

@@ -14,6 +14,7 @@ from .html_blocks import extract_main_text
 from .jaccard import shingle_components
 from .mixing import mix_sources
 from .quality import score_quality
+from .repeats import remove_repeats
 from .sharding import shard_plan
 from .topk import top_inner_products
 from .urls import judge_urls
@@ -35,6 +36,11 @@ def op2_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(read(spark, folder, "documents"))
 
 
+def op3_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    left = remove_repeats(read(spark, folder, "documents"), result=lambda kept: F.sha2(kept, 256))
+    return left.withColumnRenamed("kept", "kept_sha256")
+
+
 def op4_ball_tree_topk(spark: SparkSession, folder: str) -> DataFrame:
     return top_inner_products(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 

@@ -162,8 +162,9 @@ def top_inner_products(
     on = ["width", "shard", "block"]
 
     def found(candidates: DataFrame, queries: DataFrame) -> DataFrame:
-        left = candidates.select(*on, "id", "vector").groupBy(*on)
-        right = queries.select(*on, "id", "key", "vector", "least").groupBy(*on)
+        # Both sides come of one table: columns anew, so that each is known to be its own.
+        left = candidates.select(*[F.col(c).alias(c) for c in (*on, "id", "vector")]).groupBy(*on)
+        right = queries.select(*[F.col(c).alias(c) for c in (*on, "id", "key", "vector", "least")]).groupBy(*on)
         schema = "query_id long, query_key long, vec_id long, score long"
         return left.cogroup(right).applyInArrow(_search_groups(k), schema)
 

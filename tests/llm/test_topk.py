@@ -41,7 +41,7 @@ def test_bounds_hold_and_prune():
     rng = np.random.default_rng(1)
     rows = np.concatenate([rng.integers(-20, 20, (500, 8)) + 300 * np.eye(8, dtype=np.int64)[i] for i in range(8)])
     tree = topk.BallTree(rows)
-    queries = rng.integers(-50, 50, (20, 8)).astype(float)
+    queries = (300 * np.eye(8)[rng.integers(8, size=20)] + rng.integers(-20, 20, (20, 8))).astype(float)
     bounds = tree.bounds(queries)
     for node, (members, _) in enumerate(tree.parts):
         assert (queries @ rows[members].T <= bounds[:, node][:, None]).all()

@@ -9,7 +9,6 @@ the turn's place, show where in the span the text lies: they differ there and no
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_prefix
+
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
@@ -50,10 +51,6 @@ def read_turns(formatted: str) -> list[Turn]:
     return [(unescape(role), unescape(text)) for role, text in _TURN.findall(formatted)]
 
 
-def _shared(a: str, b: str) -> int:
-    return len(os.path.commonprefix([a, b]))
-
-
 def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """The rendered conversation, each turn's start, end, text start and text end, and whether history was rewritten.
 
@@ -64,9 +61,9 @@ def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int,
         now = template(turns[: i + 1])
         start = len(before)
         if not now.startswith(before):
-            start, rewrites = _shared(now, before), True
+            start, rewrites = shared_prefix(now, before), True
         one, two = (template([*turns[:i], (role, probe)]) for probe in _PROBES)
-        begin = _shared(one, two)
+        begin = shared_prefix(one, two)
         tail = len(one) - begin - 1
         spans.append((start, len(now), min(begin, len(now)), max(min(begin, len(now)), len(now) - tail)))
         before = now

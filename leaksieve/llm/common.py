@@ -50,3 +50,15 @@ def unit(*parts) -> F.Column:
     """A number in (0, 1) from the parts, the same in every run and engine: 52 bits of an md5."""
     digest = F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def shared_prefix(a: str | bytes, b: str | bytes) -> int:
+    """The length of the longest common prefix, by halving: whole slices are compared."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low

@@ -22,7 +22,6 @@ its windows are counted by Spark, with partial sums, so none of its rows gather.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, small, stored
+from .common import scratch, shared_prefix, small, stored
 from .words import mixed, packed, steps
 
 #: Bytes of a seed; a power of two.
@@ -100,7 +99,7 @@ def _anchor_rows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in steps(whole, "text", 16 << 20):
+            for batch in steps(whole, "text"):
                 data, ends = packed(batch.column("text"))
                 place, seed, text, first, last = anchors(data, ends, length)
                 raw = memoryview(data)
@@ -239,7 +238,7 @@ def _shared(keys: list[bytes]) -> list[int]:
     order = sorted(range(len(keys)), key=keys.__getitem__)
     out = [0] * len(keys)
     for a, b in zip(order[:-1], order[1:], strict=True):
-        n = len(os.path.commonprefix([keys[a], keys[b]]))
+        n = shared_prefix(keys[a], keys[b])
         out[a], out[b] = max(out[a], n), max(out[b], n)
     return out
 

@@ -38,7 +38,7 @@ CODE_LINES = T.StructType([
 REPORT_META = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("author", T.StringType()),
-    T.StructField("freq", T.IntegerType()),
+    T.StructField("freq", T.LongType()),
 ])
 REPORT_DOCUMENT = T.StructType([
     T.StructField("meta", REPORT_META),
@@ -46,7 +46,9 @@ REPORT_DOCUMENT = T.StructType([
 ])
 
 DEFAULT_ENTROPY_LIMIT = 4.5
-DEFAULT_MAX_FILE_SIZE = 500
+# The size cap of the settings format: far below most files. ``None`` in its place means no cap.
+COMPAT_MAX_FILE_SIZE = 500
+DEFAULT_MAX_FILE_SIZE = COMPAT_MAX_FILE_SIZE
 
 REPORT_NAME = ".leaksieve.json"
 
@@ -71,18 +73,24 @@ DEFAULT_EXEMPT = (
 
 @dataclass(frozen=True)
 class ScanConfig:
-    """Effective settings of a scan. ``max_file_size`` is in bytes."""
+    """Effective settings of a scan.
+
+    ``max_file_size`` is in bytes, ``None`` for no cap; the default is that of the settings
+    format, and ``left_out`` counts the files it keeps from a scan. ``entropy_mode``
+    is ``compat`` or ``standard`` (see ``entropy_filter``).
+    """
 
     entropy_limit: float = DEFAULT_ENTROPY_LIMIT
-    max_file_size: int = DEFAULT_MAX_FILE_SIZE
+    max_file_size: int | None = DEFAULT_MAX_FILE_SIZE
     logging: bool = True
     use_gitignore: bool = True
     changed_only: bool = False
     target_regex: dict[str, str] = field(default_factory=dict)
     exempt: tuple[str, ...] = DEFAULT_EXEMPT
+    entropy_mode: str = "compat"
 
     def __post_init__(self) -> None:
-        if self.max_file_size <= 0:
+        if self.max_file_size is not None and self.max_file_size <= 0:
             object.__setattr__(self, "max_file_size", DEFAULT_MAX_FILE_SIZE)
 
     def add_exempt(self, *names: str) -> "ScanConfig":

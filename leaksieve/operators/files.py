@@ -42,8 +42,15 @@ def is_executable(mode: Column) -> Column:
     return F.coalesce(mode.bitwiseAND(EXECUTE_BITS) != 0, F.lit(False))
 
 
-def within_size(size: Column, limit: int) -> Column:
-    return size <= limit
+def within_size(size: Column, limit: int | None) -> Column:
+    return F.lit(True) if limit is None else size <= limit
+
+
+def left_out(files: DataFrame, config: ScanConfig) -> DataFrame:
+    """One row with the number and bytes of the files that nothing but the size cap keeps from a scan."""
+    over = ~within_size(F.col("size"), config.max_file_size)
+    wanted = ~is_executable(F.col("mode")) & ~is_exempt(F.col("path"), config.exempt)
+    return files.filter(over & wanted).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
 def is_ignored(path: Column, rule_lines: Iterable[str]) -> Column:

@@ -30,6 +30,9 @@ from leaksieve.functions.text import fields_from
 
 Evidence = dict[str, Column]
 
+# Least length of tokens that the field pattern asks for at most.
+MOST_REPEATS = 1000
+
 
 @dataclass(frozen=True)
 class TokenFilter:
@@ -71,7 +74,7 @@ def entropy_filter(threshold: float, mode: str = "compat") -> TokenFilter:
     limit = threshold + 5e-10
 
     def match(token: Column) -> Column:
-        distinct_enough = F.size(F.array_distinct(F.split(token, ""))) >= least
+        distinct_enough = F.size(F.array_distinct(F.split(token, ""))) >= F.lit(least)
         if mode == "standard":
             return (F.char_length(token) >= least) & distinct_enough & (standard_entropy(token) > limit)
         if mode != "compat":
@@ -83,7 +86,8 @@ def entropy_filter(threshold: float, mode: str = "compat") -> TokenFilter:
         return (F.char_length(token) >= min_chars) & exact
 
     # From 256 bytes on bytes are counted, and such a token has 64 code points at least.
-    min_chars = least if mode == "standard" else min(least, LONG_BYTES // 4)
+    # A repeat count in a pattern is bounded; the exact test stands behind it.
+    min_chars = min(least, MOST_REPEATS if mode == "standard" else LONG_BYTES // 4)
     return TokenFilter(match, lambda token: {"entropy": entropy_text(entropy(token, mode))}, min_chars)
 
 
@@ -128,11 +132,21 @@ def any_of(*members: TokenFilter | None) -> TokenFilter:
             merged = _merge(merged, {key: F.when(hit, value) for key, value in member.evidence(token).items()})
         return merged
 
+    def in_text(text: Column) -> Column:
+        # Members with a cheap test of whole texts are asked one by one; all others share one pass over the tokens.
+        tested = [member for member in present if member.text_test]
+        rest = [member for member in present if not member.text_test]
+        parts = [member.in_text(text) for member in tested]
+        if rest:
+            shortest = min(member.min_chars for member in rest)
+            parts.append(F.exists(fields_from(text, shortest), lambda t: reduce(or_, (m.match(t) for m in rest))))
+        return reduce(or_, parts, F.lit(False))
+
     return TokenFilter(
         lambda token: reduce(or_, (member.match(token) for member in present), F.lit(False)),
         evidence,
         min((member.min_chars for member in present), default=0),
-        lambda text: reduce(or_, (member.in_text(text) for member in present), F.lit(False)),
+        in_text,
     )
 
 
@@ -144,11 +158,12 @@ def all_of(*members: TokenFilter | None) -> TokenFilter:
         lambda token: reduce(_merge, (member.evidence(token) for member in present), {}),
         max((member.min_chars for member in present), default=0),
     )
-    if len(present) < 2:
+    tested = [member for member in present if member.text_test]
+    if len(present) < 2 or not tested:
         return plain
-    # Each member must match somewhere before it can be the same token.
+    # What can be told of a whole text is asked before its tokens are.
     return replace(
-        plain, text_test=lambda text: reduce(and_, (m.in_text(text) for m in present)) & plain.in_tokens(text)
+        plain, text_test=lambda text: reduce(and_, (m.in_text(text) for m in tested)) & plain.in_tokens(text)
     )
 
 
@@ -157,14 +172,14 @@ def regex_filters(rules: Mapping[str, str]) -> list[TokenFilter]:
     return [regex_filter(header, pattern) for header, pattern in rules.items()]
 
 
-def configured_filters(rules: Mapping[str, str], entropy_limit: float) -> TokenFilter:
+def configured_filters(rules: Mapping[str, str], entropy_limit: float, mode: str = "compat") -> TokenFilter:
     """Every rule, complexity and entropy on the same token."""
-    return all_of(*regex_filters(rules), complexity_filter(), entropy_filter(entropy_limit))
+    return all_of(*regex_filters(rules), complexity_filter(), entropy_filter(entropy_limit, mode))
 
 
-def default_scan(entropy_limit: float, configured: TokenFilter | None = None) -> TokenFilter:
+def default_scan(entropy_limit: float, configured: TokenFilter | None = None, mode: str = "compat") -> TokenFilter:
     """The effective filter of a plain scan: the configured one, if any, or entropy alone."""
-    return any_of(configured, entropy_filter(entropy_limit))
+    return any_of(configured, entropy_filter(entropy_limit, mode))
 
 
 def detect_any_rule(rules: Mapping[str, str], entropy_limit: float) -> TokenFilter:

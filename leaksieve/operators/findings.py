@@ -15,7 +15,7 @@ from leaksieve.operators.scan import has_hit, one_row_per_file
 
 
 def hit_total(findings: DataFrame) -> DataFrame:
-    return findings.agg(F.count("*").cast("int").alias("freq"))
+    return findings.agg(F.count("*").alias("freq"))
 
 
 def gate(files: DataFrame, token_filter: TokenFilter) -> DataFrame:
@@ -61,14 +61,16 @@ def merge_scans(*scans: DataFrame) -> DataFrame:
 
     A scan that found nothing in a path leaves the earlier entry. Each scan
     brings at most one row per path, so no key grows with the number of hits.
+    Paths are as walked: scans of several roots carry the root in the path
+    (see ``scan_folders``), so equal relative paths stay apart.
     """
     if not scans:
         raise ValueError("no scans to merge")
-    tagged = [scan.select("path", "hits", F.lit(number).alias("scan_seq")) for number, scan in enumerate(scans)]
-    union = tagged[0]
-    for scan in tagged[1:]:
-        union = union.unionByName(scan)
-    return union.groupBy("path").agg(F.max_by("hits", "scan_seq").alias("hits"))
+    merged = scans[0].select("path", "hits")
+    for scan in scans[1:]:
+        newer = scan.select("path", F.col("hits").alias("newer"))
+        merged = merged.join(newer, "path", "full_outer").select("path", F.coalesce("newer", "hits").alias("hits"))
+    return merged
 
 
 def report_lines(findings: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from leaksieve.functions.text import fields, raw_lines
 from leaksieve.operators.filters import TokenFilter
 from leaksieve.operators.scan import has_hit, one_row_per_file
 
-MARKER = "===== leaksieve detected a secret: OBFUSCATED ====="
+MARKER = "[line withheld by leaksieve]"
 
 
 def mask_lines(files: DataFrame, token_filter: TokenFilter, marker: str = MARKER) -> DataFrame:
@@ -50,20 +50,39 @@ def vault_rows(masked: DataFrame) -> DataFrame:
     return masked.filter(F.size("vault") > 0).select("path", "vault")
 
 
-def _splice(lines: Column, changes: Column) -> Column:
-    """``lines`` with those named by ``changes`` (ordered by ``line_no``) set to ``original``.
+def _replaced(files: DataFrame, changes: str) -> DataFrame:
+    """``files`` with the lines that ``changes`` names by ``line_no`` set to ``original``; adds ``unmatched``.
 
-    The stretches between changes are copied whole, so the cost is linear in
-    the lines plus the changes.
+    ``changes`` is a column name. Lines and changes are sorted together, a change
+    before the line of its number, and the first of each number stays: the cost
+    is that of the sort. The sorted array is a column of its own, so a look at the element
+    before costs nothing. ``unmatched`` has the numbers beyond the last line.
     """
+    lines = F.transform(
+        raw_lines(F.col("text")),
+        lambda line, at: F.struct((at + 1).alias("line_no"), F.lit(1).alias("kind"), line.alias("line")),
+    )
+    changed = F.transform(
+        changes,
+        lambda c: F.struct(c.line_no.cast("int").alias("line_no"), F.lit(0).alias("kind"), c.original.alias("line")),
+    )
+    ordered = files.withColumn("__lines", F.sort_array(F.concat(changed, lines)))
 
-    def stretch(at: Column) -> Column:
-        start = F.when(at == 0, 1).otherwise(F.get(changes, at - 1).line_no + 1)
-        end = F.when(at == F.size(changes), F.size(lines) + 1).otherwise(F.get(changes, at).line_no)
-        kept = F.slice(lines, start, F.greatest(end - start, F.lit(0)))
-        return F.when(at == F.size(changes), kept).otherwise(F.array_append(kept, F.get(changes, at).original))
+    def alike(x: Column, at: Column) -> Column:
+        return F.coalesce(F.get("__lines", at).line_no == x.line_no, F.lit(False))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(changes)), stretch))
+    # Only the sorted array may be looked at here: anything else would be computed for each of its elements.
+    within = F.filter(
+        "__lines",
+        lambda x, at: F.when(x.kind == 1, (at == 0) | ~alike(x, at - 1)).otherwise(
+            alike(x, at + 1) & (F.get("__lines", at + 1).kind == 1)
+        ),
+    )
+    beyond = F.transform(
+        F.filter("__lines", lambda x, at: (x.kind == 0) & ~alike(x, at + 1)), lambda x: x.line_no
+    )
+    text = F.array_join(F.transform(within, lambda x: x.line), "\n")
+    return ordered.withColumn("text", text).withColumn("unmatched", beyond).drop("__lines")
 
 
 def restore_lines(masked: DataFrame, vault: DataFrame, marker: str = MARKER) -> DataFrame:
@@ -75,28 +94,26 @@ def restore_lines(masked: DataFrame, vault: DataFrame, marker: str = MARKER) ->
     columns = [name for name in masked.columns if name != "vault"]
     carries = F.col("text").contains(marker)
     untouched = masked.filter(F.coalesce(~carries, F.lit(True))).select(*columns)
-    joined = masked.filter(carries).select(*columns).join(vault.select("path", "vault"), "path", "left")
-    text = F.when(
-        F.col("vault").isNotNull(), F.array_join(_splice(raw_lines(F.col("text")), F.col("vault")), "\n")
-    ).otherwise(F.col("text"))
-    restored = joined.withColumn("text", text).select(*columns)
-    return untouched.unionByName(restored)
+    kept = vault.select("path", "vault")
+    joined = masked.filter(carries).select(*columns).join(kept, "path", "left")
+    joined = joined.withColumn("vault", F.coalesce("vault", F.array().cast("array<struct<line_no:int,original:string>>")))
+    return untouched.unionByName(_replaced(joined, "vault").select(*columns))
 
 
 def mask_reported(files: DataFrame, by_file: DataFrame, marker: str = MARKER) -> DataFrame:
-    """Mask the lines named by stored by-file findings instead of scanning anew.
+    """The files that stored by-file findings name, with the lines they name masked.
 
-    Findings that fit Spark's broadcast limit go to the texts; beyond it both
-    sides are shuffled, and ``mask_lines`` is the cheaper way.
+    Only these files return; the others need no change and stay where they are.
+    Adds ``unmatched``, the reported line numbers that the present text doesn't have:
+    a file that is no longer as it was reported. Findings meet the texts by
+    path; Spark sends them to the texts if they are small, and else keeps
+    unreported texts out of the shuffle with a runtime filter where it can.
     """
     one_row_per_file(files)
-    numbers = F.array_sort(F.array_distinct(F.col("hits.line_no")))
+    numbers = F.array_distinct(F.col("hits.line_no"))
     changes = by_file.select(
         "path",
-        F.transform(numbers, lambda n: F.struct(n.alias("line_no"), F.lit(marker).alias("original"))).alias("changes"),
+        F.transform(numbers, lambda n: F.struct(n.alias("line_no"), F.lit(marker).alias("original"))).alias("__changes"),
     )
-    joined = files.join(changes, "path", "left")
-    lines = raw_lines(F.col("text"))
-    within = F.filter("changes", lambda change: change.line_no <= F.size(lines))
-    text = F.when(F.col("changes").isNotNull(), F.array_join(_splice(lines, within), "\n")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*files.columns)
+    named = files.filter(F.col("text").isNotNull()).join(changes, "path")
+    return _replaced(named, "__changes").select(*files.columns, "unmatched")

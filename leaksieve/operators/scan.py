@@ -18,9 +18,6 @@ from leaksieve.functions.text import fields, raw_lines
 from leaksieve.operators.filters import TokenFilter, any_of, payload, regex_filters
 from leaksieve.operators.tokens import literals, readable_lines, tokens
 
-# Paths given as a Python collection up to this many are broadcast; a few MB at most.
-MAX_BROADCAST_PATHS = 50_000
-
 
 def has_hit(text: Column, token_filter: TokenFilter | None) -> Column:
     """Whether any token of ``text`` matches; false for a null text."""
@@ -39,6 +36,8 @@ def scan(
     line_limit: int | None = None,
 ) -> DataFrame:
     """Findings: one row per matching token. No filter means no findings."""
+    if line_limit is not None:
+        one_row_per_file(files)
     token_filter = token_filter or any_of()
     flagged = files.filter(has_hit(F.col("text"), token_filter))
     base = F.col("line_base") if "line_base" in files.columns else None
@@ -55,22 +54,24 @@ def scan_paths(
     files: DataFrame,
     paths: DataFrame | Collection[str],
     token_filter: TokenFilter | None,
-    max_file_size: int,
+    max_file_size: int | None,
 ) -> DataFrame:
     """Findings of the listed files only; no predicate but the size applies.
 
-    A short list prunes files before they are read. A longer one, or one held in
-    a table (column ``path``), meets the *hits*: joining the files themselves
-    would send their text through a shuffle.
+    One plan for lists of every length: a semi join below the scan, so unlisted
+    texts are not looked at. Spark sends a list to the texts while its bytes are few; beyond
+    that both meet by path, with a runtime filter where it pays. Files of a
+    folder are better listed on the manifest, before any text is read (``scan_listed``).
     """
-    candidates = files.filter(F.col("size") <= max_file_size)
+    return scan(listed_files(files, paths, max_file_size), token_filter)
+
+
+def listed_files(files: DataFrame, paths: DataFrame | Collection[str], max_file_size: int | None) -> DataFrame:
+    """The rows of a table of files, or of a manifest, whose path is listed."""
     if not isinstance(paths, DataFrame):
-        wanted = files.sparkSession.createDataFrame([(path,) for path in dict.fromkeys(paths)], "path string")
-        if len(paths) <= MAX_BROADCAST_PATHS:
-            return scan(candidates.join(F.broadcast(wanted), "path", "left_semi"), token_filter)
-        paths = wanted
-    # An inner join stays above the generator; a semi join would be pushed below it, to the text.
-    return scan(candidates, token_filter).join(paths.select("path").distinct(), "path")
+        paths = files.sparkSession.createDataFrame([(path,) for path in dict.fromkeys(paths)], "path string")
+    candidates = files if max_file_size is None else files.filter(F.col("size") <= max_file_size)
+    return candidates.join(paths.select("path"), "path", "left_semi")
 
 
 def located_hits(
@@ -112,6 +113,23 @@ def scan_by_file(files: DataFrame, token_filter: TokenFilter | None, line_limit:
     return found if line_limit is None else found.filter(F.size("hits") > 0)
 
 
+def group_blocks(found: DataFrame) -> DataFrame:
+    """By-file findings of ``block_hits``: the hits of a file's blocks, in order. Only hits are moved."""
+
+    def by_place(a: Column, b: Column) -> Column:
+        return F.when(a.line_base < b.line_base, -1).when(a.line_base > b.line_base, 1).otherwise(0)
+
+    blocks = F.array_sort(F.collect_list(F.struct("line_base", "hits")), by_place)
+    return found.groupBy("path").agg(F.flatten(F.transform(blocks, lambda block: block.hits)).alias("hits"))
+
+
+def block_hits(files: DataFrame, token_filter: TokenFilter | None) -> DataFrame:
+    """``path``, ``line_base`` and ``hits`` of the blocks of files (see ``read_blocks``) that have any."""
+    token_filter = token_filter or any_of()
+    flagged = files.filter(has_hit(F.col("text"), token_filter))
+    return flagged.select("path", "line_base", located_hits(F.col("text"), token_filter, None, F.col("line_base")).alias("hits"))
+
+
 def rule_hits(files: DataFrame, rules: dict[str, str], keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """Every rule tried on every token: one row per token and matching rule.
 

@@ -15,6 +15,7 @@ from leaksieve.operators.scan import has_hit, located_hits, one_row_per_file
 
 
 def _digest(snapshot: DataFrame) -> Column:
+    one_row_per_file(snapshot)
     return F.col("digest") if "digest" in snapshot.columns else F.sha2(F.col("text").cast("binary"), 256)
 
 
@@ -41,6 +42,14 @@ def changed_files(previous: DataFrame, current: DataFrame) -> DataFrame:
     return snapshot_status(previous, current).filter(F.col("status").isin("untracked", "modified"))
 
 
+def changed_manifest(previous: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The rows of a manifest that are new, or whose size or time is not as it was; no text is read."""
+    old = previous.select("path", F.col("size").alias("__size"), F.col("mtime").alias("__mtime"))
+    same = (F.col("size") == F.col("__size")) & (F.col("mtime") == F.col("__mtime"))
+    joined = manifest.join(old, "path", "left").filter(~F.coalesce(same, F.lit(False)))
+    return joined.select(*manifest.columns)
+
+
 def scan_changed(
     previous: DataFrame, current: DataFrame, token_filter: TokenFilter, max_file_size: int | None = None
 ) -> DataFrame:

@@ -47,7 +47,7 @@ def tokens(files: DataFrame, keep: tuple[str, ...] = ("path",), line_limit: int
 
 
 def literals(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
-    """One row per quoted literal of a file in a known language.
+    """One row per quoted literal of a file in a known language; ``byte_col`` is the byte of its opening quote in the line, from 1.
 
     Whole literals, blanks included, stand in for the leaves of a syntax tree.
     This is an approximation: no grammar is consulted, and a literal that spans
@@ -56,11 +56,16 @@ def literals(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     known = with_language(files).filter(F.col("language").isNotNull())
     rows = _raw_line_rows(known, (*keep, "language"), None)
     found = F.regexp_extract_all(F.col("line"), F.lit(_LITERAL), F.lit(0))
-    cut = rows.select(*keep, "language", "line_no", F.posexplode(found).alias("pos", "quoted"))
+    # The stretches between the literals, in order: with the literals before, they make up the bytes before.
+    between = F.split("line", _LITERAL, -1)
+    rows = rows.withColumn("units", found).withColumn("between", between)
+    cut = rows.select(*keep, "language", "line_no", "units", "between", F.posexplode("units").alias("pos", "quoted"))
+    ahead = F.concat(F.array_join(F.slice("between", 1, F.col("pos") + 1), ""), F.array_join(F.slice("units", 1, F.col("pos")), ""))
     return cut.select(
         *keep,
         "language",
         "line_no",
         (F.col("pos") + 1).cast("int").alias("unit_no"),
+        (F.octet_length(ahead) + 1).cast("int").alias("byte_col"),
         F.col("quoted").substr(F.lit(2), F.char_length("quoted") - 2).alias("token"),
     )

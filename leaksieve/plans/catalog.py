@@ -10,10 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leaksieve.functions.entropy import LONG_BYTES, entropy, entropy_text, long_entropy, short_entropy, standard_entropy
 from leaksieve.functions.text import fields
-from leaksieve.model import ScanConfig
+from leaksieve.model import FILES, FINDINGS, ScanConfig
 from leaksieve.operators import files as predicates
 from leaksieve.operators import findings as derived
 from leaksieve.operators import masking, snapshots
@@ -144,7 +145,7 @@ def snapshot_status(spark, folder):
 
 @query("scan_changed")
 def scan_changed(spark, folder):
-    found = snapshots.scan_changed(*snapshots_of_documents(spark, folder), entropy_filter(LOOSE_LIMIT), MAX_SIZE)
+    found = snapshots.scan_changed(*snapshots_of_documents(spark, folder), entropy_filter(LOOSE_LIMIT))
     return flat(derived.explode_hits(found), "entropy")
 
 
@@ -440,10 +441,10 @@ def mask_reported(spark, folder):
 
 @query("restore_lines")
 def restore_lines(spark, folder):
-    stored = scratch_dir(spark, "masked")
-    masking.mask_lines(documents(spark, folder), secret_lines()).write.parquet(stored)
-    masked = spark.read.parquet(stored)
-    return masking.restore_lines(masked, masking.vault_rows(masked)).select("path", "text")
+    masked = masking.mask_lines(documents(spark, folder), secret_lines())
+    stored = scratch_dir(spark, "vault")
+    masking.vault_rows(masked).write.parquet(stored)
+    return masking.restore_lines(masked, spark.read.parquet(stored)).select("path", "text")
 
 
 # Other corpora and streams
@@ -460,8 +461,8 @@ def scan_conversations(spark, folder):
 
 
 def document_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/documents.parquet").schema
-    return document_files(stream_table(spark, folder, schema, "documents.parquet"))
+    table = f"{folder}/documents.parquet"
+    return document_files(stream_table(spark, table, spark.read.parquet(table).schema))
 
 
 @query("stream_scan")
@@ -471,7 +472,7 @@ def stream_scan(spark, folder):
         document_stream(spark, folder), entropy_filter(LOOSE_LIMIT), f"{run}/found", f"{run}/checkpoint"
     )
     started.awaitTermination()
-    return flat(spark.read.parquet(f"{run}/found"), "entropy")
+    return flat(spark.read.schema(FINDINGS).parquet(f"{run}/found"), "entropy")
 
 
 @query("stream_gate")
@@ -479,4 +480,5 @@ def stream_gate(spark, folder):
     run = scratch_dir(spark, "stream-gate")
     started = start_gate(document_stream(spark, folder), prose_filter(), f"{run}/routed", f"{run}/checkpoint")
     started.awaitTermination()
-    return spark.read.parquet(f"{run}/routed").select("path", "size", "verdict")
+    routed = T.StructType([*FILES.fields, T.StructField("verdict", T.StringType())])
+    return spark.read.schema(routed).parquet(f"{run}/routed").select("path", "size", "verdict")

@@ -219,7 +219,7 @@ def oracle_sql() -> dict[str, str]:
         "changed_files": _with(f"SELECT * FROM {_STATUS} WHERE status IN ('untracked', 'modified')", _BEFORE),
         "snapshot_status": _with(f"SELECT * FROM {_STATUS} WHERE status IS NOT NULL", _BEFORE),
         "scan_changed": _with(
-            f"SELECT * FROM ({_found(capped, loose, _E)}) WHERE path IN "
+            f"SELECT * FROM ({scanned}) WHERE path IN "
             f"(SELECT path FROM {_STATUS} WHERE status IN ('untracked', 'modified'))",
             _BEFORE,
         ),
@@ -276,12 +276,14 @@ def oracle_sql() -> dict[str, str]:
               WHERE cut IS NULL OR line_no < cut"""
         ),
         "literal_scan": _with(
-            f"""SELECT path, language, line_no, unit_no, token, {_four('e')} AS entropy FROM (
+            f"""SELECT path, language, line_no, unit_no, byte_col, token, {_four('e')} AS entropy FROM (
                 SELECT *, {_entropy('token')} AS e FROM (
                   SELECT path, 'html' AS language, CAST(line_no AS INTEGER) AS line_no,
-                         CAST(unit_no AS INTEGER) AS unit_no, substr(quoted, 2, length(quoted) - 2) AS token
-                  FROM (SELECT path, line_no, unnest(units) AS quoted, generate_subscripts(units, 1) AS unit_no
-                        FROM (SELECT *, regexp_extract_all(line, {_quote(_LITERAL)}) AS units
+                         CAST(unit_no AS INTEGER) AS unit_no, substr(quoted, 2, length(quoted) - 2) AS token,
+                         CAST(strlen(array_to_string(between[1:unit_no], '')) + strlen(array_to_string(units[1:unit_no - 1], '')) + 1
+                              AS INTEGER) AS byte_col
+                  FROM (SELECT path, line_no, units, between, unnest(units) AS quoted, generate_subscripts(units, 1) AS unit_no
+                        FROM (SELECT *, string_split_regex(line, {_quote(_LITERAL)}) AS between, regexp_extract_all(line, {_quote(_LITERAL)}) AS units
                               FROM {_lines('webs')}))))
               WHERE {prose}"""
         ),
@@ -330,7 +332,7 @@ def oracle_sql() -> dict[str, str]:
             _found("docs", detect, *detect_evidence) + " UNION ALL " + _found("chats", detect, *detect_evidence)
         ),
         "findings_by_file": _with(_hits_text(scanned)),
-        "hit_total": _with(f"SELECT CAST(count(*) AS INTEGER) AS freq FROM ({prose_hits})"),
+        "hit_total": _with(f"SELECT CAST(count(*) AS BIGINT) AS freq FROM ({prose_hits})"),
         "scan_gate": _with(
             f"""SELECT 'documents' AS batch, count(*) > 0 AS has_findings FROM {_scored('docs')} WHERE {prose}
               UNION ALL
@@ -362,10 +364,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "report_meta": _with(
             f"""SELECT {_quote(c.TIMESTAMP)} AS timestamp, {_quote(c.AUTHOR)} AS author,
-              CAST(count(*) AS INTEGER) AS freq FROM ({prose_hits})"""
+              CAST(count(*) AS BIGINT) AS freq FROM ({prose_hits})"""
         ),
         "mask_lines": _with(_masking(_MASKED)),
-        "mask_reported": _with(f"SELECT path, text FROM ({_masking(prose)})"),
+        "mask_reported": _with(f"SELECT path, text FROM ({_masking(prose)}) WHERE n_masked > 0"),
         "restore_lines": _with("SELECT path, text FROM docs"),
         "scan_pages": _with(_found("webs", f"({_COMPLEX} OR {page})", _IF_C, _if_e(c.PAGE_LIMIT))),
         "scan_conversations": _with(_found("chats", loose, _E)),

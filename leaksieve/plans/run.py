@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import os
+from collections.abc import Collection, Iterable, Sequence
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leaksieve.model import ScanConfig
-from leaksieve.operators.files import eligible
+from leaksieve.operators.files import eligible, within_size
 from leaksieve.operators.filters import TokenFilter, configured_filters, default_scan
-from leaksieve.operators.scan import scan_by_file
-from leaksieve.operators.snapshots import scan_changed
+from leaksieve.operators.scan import block_hits, group_blocks, listed_files, scan_by_file
+from leaksieve.operators.snapshots import changed_manifest, scan_changed
 from leaksieve.session import scratch_dir
-from leaksieve.sources.folder import list_folder, read_files
-from leaksieve.sources.ignorefile import read_rules
+from leaksieve.sources.folder import all_readable, list_folder, read_blocks, read_files
+from leaksieve.sources.ignorefile import add_rule, read_rules
 from leaksieve.sources.reports import write_report
 
 
 def effective_filter(config: ScanConfig) -> TokenFilter:
-    rules = config.target_regex
-    return default_scan(config.entropy_limit, configured_filters(rules, config.entropy_limit) if rules else None)
+    rules, limit, mode = config.target_regex, config.entropy_limit, config.entropy_mode
+    return default_scan(limit, configured_filters(rules, limit, mode) if rules else None, mode)
 
 
 def scan_files(
@@ -37,21 +41,66 @@ def scan_files(
     return scan_by_file(eligible(files, config, ignore_lines), effective_filter(config))
 
 
+def scan_manifest(manifest: DataFrame, root: str, config: ScanConfig) -> DataFrame:
+    """By-file findings of the files of a manifest, whatever their size.
+
+    Files are read in blocks of whole lines; hits of a file's blocks are put
+    together afterwards, and no text is. A file that cannot be read ends the job.
+    """
+    blocks = all_readable(read_blocks(manifest, root))
+    return group_blocks(block_hits(blocks, effective_filter(config)))
+
+
 def scan_folder(spark: SparkSession, root: str, config: ScanConfig, previous: DataFrame | None = None) -> DataFrame:
-    """By-file findings of a folder tree. Files that are not eligible are never opened."""
+    """By-file findings of a folder tree. Files that are not eligible are never opened.
+
+    With ``changed_only``, ``previous`` is the manifest of an earlier state with a column
+    ``digest`` (see ``folder_snapshot``). Only files whose size or time differs are
+    opened, and of those only the ones with another digest are scanned.
+    """
     manifest = list_folder(spark, root)
     if config.changed_only:
-        candidates = manifest.filter(manifest["size"] <= config.max_file_size)
-        return scan_files(read_files(candidates, root), config, previous=previous)
+        if previous is None:
+            raise ValueError("scanning changes needs the previous snapshot")
+        candidates = manifest.filter(within_size(F.col("size"), config.max_file_size))
+        if {"size", "mtime"} <= set(previous.columns):
+            candidates = changed_manifest(previous, candidates)
+        files = all_readable(read_files(candidates, root))
+        return scan_changed(previous, files, effective_filter(config))
     rules = read_rules(f"{root}/.gitignore") if config.use_gitignore else []
-    return scan_by_file(read_files(eligible(manifest, config, rules), root), effective_filter(config))
+    return scan_manifest(eligible(manifest, config, rules), root, config)
+
+
+def scan_folders(spark: SparkSession, roots: Sequence[str], config: ScanConfig) -> DataFrame:
+    """By-file findings of several folder trees; a path begins with its root, so equal relative paths stay apart."""
+    if not roots:
+        raise ValueError("no roots")
+    found = [
+        scan_folder(spark, root, config).withColumn("path", F.concat(F.lit(root.rstrip("/") + "/"), "path"))
+        for root in dict.fromkeys(roots)
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def scan_listed(spark: SparkSession, root: str, paths: DataFrame | Collection[str], config: ScanConfig) -> DataFrame:
+    """By-file findings of the listed files of a folder tree; the others are never opened."""
+    return scan_manifest(listed_files(list_folder(spark, root), paths, config.max_file_size), root, config)
+
+
+def folder_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """What to store of a folder in order to scan only what changes: path, size, mtime and digest of every file."""
+    files = all_readable(read_files(list_folder(spark, root), root))
+    return files.select("path", "size", "mtime", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
-def run(by_file: DataFrame, config: ScanConfig, report: str, author: str, timestamp: str) -> bool:
+def run(
+    by_file: DataFrame, config: ScanConfig, report: str, author: str, timestamp: str, ignore_file: str | Path | None = None
+) -> bool:
     """Evaluate findings once and say whether there are any.
 
     A report is written only if there are and ``logging`` is on; otherwise an
-    earlier one stays as it is.
+    earlier one stays as it is. The name of a written report is added to
+    ``ignore_file``, if one is given, so that later scans pass over it.
     """
     spark = by_file.sparkSession
     stored = scratch_dir(spark, "findings")
@@ -61,4 +110,6 @@ def run(by_file: DataFrame, config: ScanConfig, report: str, author: str, timest
         return False
     if config.logging:
         write_report(found, report, author, timestamp)
+        if ignore_file is not None:
+            add_rule(ignore_file, os.path.basename(report.rstrip("/")))
     return True

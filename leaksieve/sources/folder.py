@@ -7,7 +7,6 @@ folder by whichever task holds it, and the levels stored as tables.
 
 from __future__ import annotations
 
-import logging
 import math
 import os
 import stat
@@ -26,12 +25,11 @@ _LISTED = T.StructType([*MANIFEST.fields, T.StructField("is_folder", T.BooleanTy
 _BATCH_ROWS = 10_000
 _BATCH_BYTES = 32 * 1024 * 1024
 _TASK_BYTES = 128 * 1024 * 1024
-_READ = T.StructType([*FILES.fields, T.StructField("valid_utf8", T.BooleanType())])
+#: Bytes that a line may have before a block is refused: a line is read, and held, as a whole.
+MAX_LINE_BYTES = 256 * 1024 * 1024
+_READ = T.StructType([*FILES.fields, T.StructField("valid_utf8", T.BooleanType()), T.StructField("read_error", T.StringType())])
 _READ_BLOCKS = T.StructType([*_READ.fields, T.StructField("line_base", T.LongType())])
 
-log = logging.getLogger(__name__)
-
-
 def _children(root: str, folder: str) -> Iterator[tuple]:
     """Folders and readable files directly below ``folder``. A folder that cannot be listed raises."""
     with os.scandir(os.path.join(root, folder)) as entries:
@@ -85,11 +83,26 @@ def list_folder(spark: SparkSession, root: str) -> DataFrame:
     return listed.filter(~F.col("is_folder")).drop("is_folder")
 
 
-def _decode(content: bytes) -> tuple[str, bool]:
+def _decode(content: bytes) -> tuple[str, bool, None]:
     try:
-        return content.decode("utf-8"), True
+        return content.decode("utf-8"), True, None
     except UnicodeDecodeError:
-        return content.decode("utf-8", errors="replace"), False
+        return content.decode("utf-8", errors="replace"), False, None
+
+
+def _failed(error: OSError) -> tuple[None, None, str]:
+    return None, None, f"{type(error).__name__}: {error}"
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """Path and error of the files, or blocks, that could not be read."""
+    return files.filter(F.col("read_error").isNotNull()).select("path", "read_error")
+
+
+def all_readable(files: DataFrame) -> DataFrame:
+    """The same files; the job that reads them fails at one that could not be read."""
+    refused = F.raise_error(F.concat(F.lit("cannot read "), F.col("path"), F.lit(": "), F.col("read_error")))
+    return files.withColumn("text", F.when(F.col("read_error").isNotNull(), refused.cast("string")).otherwise(F.col("text")))
 
 
 def _batches(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
@@ -98,7 +111,7 @@ def _batches(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame
     length = 0
     for row in rows:
         held.append(row)
-        length += len(row[4])
+        length += len(row[4] or "")
         if length >= _BATCH_BYTES:
             yield pd.DataFrame(held, columns=columns)
             held, length = [], 0
@@ -113,10 +126,11 @@ def _tasks(manifest: DataFrame) -> int:
 
 
 def read_files(manifest: DataFrame, root: str) -> DataFrame:
-    """Add the text of each file of a (filtered) manifest; unreadable files are dropped.
+    """Add the text of each file of a (filtered) manifest, a file in a row.
 
     Bytes that are not UTF-8 become replacement characters, and ``valid_utf8``
-    says so.
+    says so. A file that cannot be read has no text, and ``read_error`` says why
+    (see ``unreadable`` and ``all_readable``).
     """
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
@@ -126,15 +140,18 @@ def read_files(manifest: DataFrame, root: str) -> DataFrame:
                     with open(os.path.join(root, row.path), "rb") as handle:
                         yield (*row, *_decode(handle.read()))
                 except OSError as error:
-                    log.warning("cannot read %s: %s", row.path, error)
+                    yield (*row, *_failed(error))
 
     spread = manifest.select(*MANIFEST.names).repartition(_tasks(manifest), "path")
     return spread.mapInPandas(lambda batches: _batches(texts(batches), _READ.names), _READ)
 
 
-def read_blocks(manifest: DataFrame, root: str, block_bytes: int = _TASK_BYTES) -> DataFrame:
+def read_blocks(manifest: DataFrame, root: str, block_bytes: int = _TASK_BYTES, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """As ``read_files``, but a large file comes as several rows of whole lines, each read by its own task.
 
+    A row holds the lines that begin in its block. A line that goes on for more
+    than ``max_line_bytes`` beyond it ends the job.
+
     ``line_base`` is the number of lines before a row. To know it, the line
     feeds of files beyond one block are counted first, block by block as well.
     Operators that need a file in one row refuse such a table.
@@ -147,12 +164,10 @@ def read_blocks(manifest: DataFrame, root: str, block_bytes: int = _TASK_BYTES)
         def count(path: str, size: int, offset: int) -> int:
             if size <= block_bytes:
                 return 0
-            try:
-                with open(os.path.join(root, path), "rb") as handle:
-                    handle.seek(offset)
-                    return handle.read(block_bytes).count(b"\n")
-            except OSError:
-                return 0
+            # Line numbers hang on this count: an error ends the job.
+            with open(os.path.join(root, path), "rb") as handle:
+                handle.seek(offset)
+                return handle.read(block_bytes).count(b"\n")
 
         for batch in batches:
             yield batch.assign(feeds=[count(*key) for key in zip(batch["path"], batch["size"], batch["offset"])])
@@ -168,17 +183,25 @@ def read_blocks(manifest: DataFrame, root: str, block_bytes: int = _TASK_BYTES)
     def lines(path: str, offset: int, last: bool) -> tuple[bytes, int]:
         """The lines that start within a block, and how many it skips before them."""
         with open(os.path.join(root, path), "rb") as handle:
+            content = b""
             if offset:
+                # A line that began earlier is looked through up to this block's end and no further.
                 handle.seek(offset - 1)
-                handle.readline()
-            start, end = handle.tell(), offset + block_bytes
-            if last:
-                content = handle.read()
+                ahead = handle.read(block_bytes + 1)
+                cut = ahead.find(b"\n", 0, block_bytes)
+                if cut < 0:
+                    return b"", 0
+                content, skipped = ahead[cut + 1 :], int(cut > 0)
             else:
-                content = handle.read(max(end - start, 0))
-                if content and not content.endswith(b"\n"):
-                    content += handle.readline()
-            return content, int(start > offset)
+                content, skipped = handle.read(block_bytes), 0
+            if last:
+                content += handle.read()
+            elif content and not content.endswith(b"\n"):
+                rest = handle.readline(max_line_bytes + 1)
+                if len(rest) > max_line_bytes:
+                    raise ValueError(f"{path}: a line of more than {max_line_bytes} bytes")
+                content += rest
+            return content, skipped
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
@@ -186,7 +209,7 @@ def read_blocks(manifest: DataFrame, root: str, block_bytes: int = _TASK_BYTES)
                 try:
                     content, skipped = lines(row[0], offset, offset + block_bytes >= row[1])
                 except OSError as error:
-                    log.warning("cannot read %s: %s", row[0], error)
+                    yield (*row, *_failed(error), earlier_feeds)
                     continue
                 if content or offset == 0:
                     yield (*row, *_decode(content), earlier_feeds + skipped)

@@ -7,17 +7,36 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ADDED_NOTE = "# Added by leaksieve"
+ADDED_NOTE = "# flagged paths, from leaksieve"
 
 
 def read_rules(path: str | Path) -> list[str]:
-    """The lines of one ignore file; a missing or unreadable file holds no rules."""
+    """The lines of an ignore file, or of a folder of parts in the order of their names; none if it doesn't exist.
+
+    An ignore file is held by the driver: its rules become part of the plan.
+    """
+    path = Path(path)
+    if path.is_dir():
+        parts = sorted(part for part in path.iterdir() if part.name.startswith("part-"))
+        return [line for part in parts for line in read_rules(part)]
     try:
-        return Path(path).read_text(encoding="utf-8", errors="replace").splitlines()
-    except OSError:
+        return path.read_text(encoding="utf-8", errors="replace").splitlines()
+    except FileNotFoundError:
         return []
 
 
+def add_rule(path: str | Path, entry: str) -> bool:
+    """Add one entry to the end of an ignore file unless a line equals it after trimming; says whether it was added."""
+    path = Path(path)
+    lines = read_rules(path)
+    if entry in (line.strip() for line in lines):
+        return False
+    with open(path, "a", encoding="utf-8") as handle:
+        broken = path.stat().st_size and not path.read_bytes().endswith(b"\n")
+        handle.write(("\n" if broken else "") + f"{ADDED_NOTE}\n{entry}\n")
+    return True
+
+
 def ignore_list(findings: DataFrame) -> DataFrame:
     """Every flagged path once."""
     return findings.select("path").distinct()

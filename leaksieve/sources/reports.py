@@ -21,7 +21,7 @@ def write_report(by_file: DataFrame, folder: str, author: str, timestamp: str) -
     """Overwrite ``folder`` with the entries and, counted from what was stored, the meta row."""
     report_entries(by_file).write.mode("overwrite").json(f"{folder}/data")
     stored = by_file.sparkSession.read.schema(_ENTRY_ROW).json(f"{folder}/data")
-    total = F.coalesce(F.sum(F.size("entry.Indexes")), F.lit(0)).cast("int").alias("freq")
+    total = F.coalesce(F.sum(F.size("entry.Indexes")), F.lit(0)).cast("bigint").alias("freq")
     meta = stored.agg(total).select(F.lit(timestamp).alias("timestamp"), F.lit(author).alias("author"), "freq")
     meta.write.mode("overwrite").json(f"{folder}/meta")
 

@@ -15,19 +15,25 @@ KEYS = {
 }
 
 
-def read_table(spark: SparkSession, folder: str, name: str, where: Column | None = None) -> DataFrame:
-    """The rows of one table that satisfy ``where``, spread over the cluster if its scan alone cannot be.
+#: Session setting that has ``read_table`` redistribute tables; for tables of one row group, such as test data.
+SPREAD = "spark.leaksieve.spread"
 
-    A table of fewer files than cores (often one row group, hence one busy task)
-    is redistributed by its key. A larger one is left as it is read, so its text
-    never goes through a shuffle here.
+
+def read_table(spark: SparkSession, folder: str, name: str, where: Column | None = None, spread: bool | None = None) -> DataFrame:
+    """The rows of one table that satisfy ``where``, as they are read.
+
+    With ``spread`` (by default the session setting ``SPREAD``, which is off) the rows
+    are redistributed by their key first: this sends all text through a shuffle,
+    and pays only where a small table's one row group would be one busy task.
     """
     table = spark.read.parquet(f"{folder}/{name}.parquet")
     if where is not None:
         table = table.filter(where)
-    width = spark.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= 2 * width or len(table.inputFiles()) >= width:
+    if spread is None:
+        spread = spark.conf.get(SPREAD, "false") == "true"
+    if not spread:
         return table
+    width = spark.sparkContext.defaultParallelism
     # By key and not in turn: the latter would sort whole texts first. The test
     # holds for every row; being non-deterministic it keeps later filters above
     # the exchange, since below it they would run in the few tasks again.

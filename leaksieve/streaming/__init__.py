@@ -12,9 +12,22 @@ from leaksieve.operators.findings import flag_files
 from leaksieve.operators.scan import scan
 
 
-def stream_table(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet") -> DataFrame:
-    """Parquet files of ``folder`` whose name fits ``pattern``, as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+# Files, and bytes, that one micro-batch takes at most.
+BATCH_FILES = 1000
+BATCH_BYTES = "64g"
+
+
+def stream_table(
+    spark: SparkSession, table: str, schema: T.StructType, max_files: int = BATCH_FILES, max_bytes: str | None = None
+) -> DataFrame:
+    """A parquet table, one file or a folder of them, as a stream in batches of bounded size.
+
+    A batch is bounded by files or, if ``max_bytes`` is given, by bytes.
+    """
+    reader = spark.readStream.schema(schema)
+    limit = ("maxFilesPerTrigger", max_files) if max_bytes is None else ("maxBytesPerTrigger", max_bytes)
+    # As a pattern that only the table's own path fits: a stream takes no path of a single file.
+    return reader.option(*limit).parquet(f"{table[:-1]}[{table[-1]}]")
 
 
 def _start(rows: DataFrame, folder: str, checkpoint: str, partition: str | None, continuous: str | None):

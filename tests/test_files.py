@@ -1,4 +1,3 @@
-import logging
 import os
 import random
 
@@ -136,15 +135,6 @@ def test_empty_and_missing_folders(spark, tmp_path):
         list_folder(spark, str(tmp_path / "missing"))
 
 
-def test_unreadable_file_is_left_out(spark, tree):
-    manifest = list_folder(spark, tree).filter("path in ('.env', 'latin.txt')").collect()
-    frame = spark.createDataFrame(manifest).unionByName(
-        spark.createDataFrame([("gone.txt", 1, 0o644, None)], "path string, size long, mode int, mtime timestamp")
-    )
-    logging.disable(logging.NOTSET)
-    assert {row.path for row in read_files(frame, tree).collect()} == {".env", "latin.txt"}
-
-
 def test_default_config():
     config = ScanConfig()
     assert (config.entropy_limit, config.max_file_size, config.logging, config.use_gitignore) == (4.5, 500, True, True)

@@ -122,9 +122,9 @@ def test_mask_and_restore(files_of):
 def test_mask_from_a_report(files_of, found):
     files = files_of(TEXTS)
     texts = {row.path: row.text for row in mask_reported(files, found).collect()}
-    assert texts == {row.path: row.text for row in mask_lines(files, entropy_filter(4.0)).collect()}
+    assert texts == {row.path: row.text for row in mask_lines(files, entropy_filter(4.0)).collect() if row.vault}
     shorter = files_of({"one.go": "just one line"})
-    assert mask_reported(shorter, found).first().text == "just one line"
+    assert (mask_reported(shorter, found).first().text, mask_reported(shorter, found).first().unmatched) == ("just one line", [2, 4])
 
 
 def test_restore_identity_on_documents(documents):

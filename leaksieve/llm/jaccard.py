@@ -7,13 +7,17 @@
    the same in both. A class therefore gives one key per part, and classes that
    share a key may be linked. The number of parts depends on a size grade;
    linked sets lie in the same or in neighbouring grades.
-3. Classes tied by keys form candidate groups (components by joins). Each text
-   of a group moves once, to the task of its group.
-4. There a signature tree holds the group. A leaf is a set's bitmap and size, a
+3. The classes of a key meet with small signatures, how many of their elements fall in
+   each of 64 buckets, as bitmaps: bit (bucket, i) is set if there are more than i.
+   The common bits of two bound their overlap. What the bound lets pass ties
+   classes to candidate groups (components by joins). Each text of a group
+   moves once, to the task of its group.
+4. There the bitmap has a bit for every element that two sets of the group share.
+   In both places a signature tree holds the sets: a leaf is a set's bitmap and size, a
    node the OR of its bitmaps and its range of sizes. Two nodes are traversed
    together while the overlap that they could have at most would link some
    pair; pairs that links already join are passed over, so a group of near
-   copies costs about a comparison per member. Survivors are compared exactly.
+   copies costs about a comparison per member.
 5. A group beyond ``block_rows`` is dealt over blocks. Members that are not in
    the group's largest component so far visit every other block, so no link
    between different components is missed.
@@ -23,7 +27,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,10 @@ from .words import Words, mixed, packed, sets, steps
 LEAF = 16
 #: Bits of a signature at most.
 MOST_BITS = 1 << 14
+#: Buckets of the small signatures.
+BUCKETS = 64
+#: Classes of a key up to which all pairs are looked at; beyond, a tree; beyond the second all are tied as they are.
+FEW, MOST = 16, 20_000
 #: Members and bytes of text of a group that one task takes at once.
 BLOCK_ROWS = 2000
 BLOCK_BYTES = 16 << 20
@@ -112,6 +120,14 @@ def text_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return sets(*words.shingles(k), len(column))
 
 
+def bucket_counts(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many elements of each packed set fall in each bucket, 255 at most."""
+    n = len(first) - 1
+    bucket = (mixed(values ^ np.uint64(0x5C5C5C5C)) % np.uint64(BUCKETS)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(n), np.diff(first)) * BUCKETS + bucket, minlength=n * BUCKETS)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(n, BUCKETS)
+
+
 def _set_rows(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -119,7 +135,9 @@ def _set_rows(k: int, percent: int):
                 values, first = text_sets(batch.column("text"), k)
                 size = np.diff(first)
                 ids = pa.array(class_ids(values, first), pa.int64(), mask=size == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), ids], ["id", "n", "class"])
+                counts = bucket_counts(values, first)
+                signs = pa.array([row.tobytes() for row in counts], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), ids, signs], ["id", "n", "class", "counts"])
 
     return run
 
@@ -137,30 +155,41 @@ def _key_rows(k: int, percent: int):
 
 
 class SignatureTree:
-    """Binary tree over the sets of a block: OR-combined bitmaps and size ranges.
+    """Binary tree over sets: OR-combined bitmaps and size ranges.
 
-    A bit stands for an element that at least two of the sets hold; beyond
-    ``MOST_BITS`` of those several share a bit, and ``exact`` is false. Then
-    ``spare`` is how many elements of a set at most have no bit of their own.
+    The common bits of two sets, and the lesser of what each has besides its
+    bits (``spare``), are no fewer than their overlap, and equal to it if ``exact``.
     """
 
-    def __init__(self, values: np.ndarray, first: np.ndarray) -> None:
-        n = len(first) - 1
-        self.sizes = np.diff(first)
-        distinct, place, times = np.unique(values, return_inverse=True, return_counts=True)
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, spare: np.ndarray, exact: bool) -> None:
+        self.maps, self.sizes, self.spare, self.exact = maps, sizes, spare, exact
+        order = np.lexsort([*self.maps[:, :4].T, self.sizes])
+        self.nodes: list[tuple] = []
+        self.top = self._node(order) if len(sizes) else -1
+
+    @classmethod
+    def of_sets(cls, values: np.ndarray, first: np.ndarray) -> SignatureTree:
+        """A bit for each element that at least two of the sets hold; beyond ``MOST_BITS`` several share a bit."""
+        n, sizes = len(first) - 1, np.diff(first)
+        _, place, times = np.unique(values, return_inverse=True, return_counts=True)
         shared = times > 1
         bit = np.cumsum(shared) - 1
-        self.exact = int(shared.sum()) <= MOST_BITS
         width = max(64, min(MOST_BITS, -(-int(shared.sum()) // 64) * 64))
         keep = shared[place]
-        owner, bits = np.repeat(np.arange(n), self.sizes)[keep], bit[place[keep]] % width
+        owner, bits = np.repeat(np.arange(n), sizes)[keep], bit[place[keep]] % width
         maps = np.zeros((n, width // 8), np.uint8)
         np.bitwise_or.at(maps, (owner, bits >> 3), (1 << (bits & 7)).astype(np.uint8))
-        self.maps = maps.view(np.uint64)
-        self.spare = np.bincount(owner, minlength=n) - np.bitwise_count(self.maps).sum(1, dtype=np.int64)
-        order = np.lexsort([*self.maps[:, :4].T, self.sizes])
-        self.nodes: list[tuple] = []
-        self.top = self._node(order) if n else -1
+        maps = maps.view(np.uint64)
+        spare = np.bincount(owner, minlength=n) - np.bitwise_count(maps).sum(1, dtype=np.int64)
+        return cls(maps, sizes, spare, int(shared.sum()) <= MOST_BITS)
+
+    @classmethod
+    def of_counts(cls, counts: np.ndarray, sizes: np.ndarray) -> SignatureTree:
+        """A bit for each bucket and each number below its count."""
+        high = -(-max(1, int(counts.max(initial=1))) // 8) * 8
+        bits = counts[:, :, None] > np.arange(high, dtype=np.uint8)
+        maps = np.packbits(bits.reshape(len(counts), -1), axis=1).view(np.uint64)
+        return cls(maps, sizes, sizes - counts.sum(1, dtype=np.int64), False)
 
     def _node(self, rows: np.ndarray) -> int:
         own = len(self.nodes)
@@ -185,16 +214,18 @@ class SignatureTree:
         return out + np.minimum(self.spare[rows_a][:, None], self.spare[rows_b][None, :])
 
 
-def block_links(values: np.ndarray, first: np.ndarray, percent: int, labels: np.ndarray, visits: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join the members of a block, as far as they join what labels and earlier links don't.
+def tree_links(
+    tree: SignatureTree, percent: int, labels: np.ndarray, visits: np.ndarray | None = None, linked: Callable[[int, int], bool] | None = None
+) -> list[tuple[int, int]]:
+    """Links that join the members of a tree, as far as they join what labels and earlier links don't.
 
     ``labels`` are components known before; ``visits`` marks members that
-    came from another block: pairs of two visitors are another block's work.
+    came from another block: pairs of two visitors are another block's work. Pairs that pass
+    the bound are links if ``linked`` says so.
     """
-    tree = SignatureTree(values, first)
     joined = np.unique(labels, return_inverse=True)[1]
     sizes, found = tree.sizes, []
-    stack = [(tree.top, tree.top)] if len(first) > 1 else []
+    stack = [(tree.top, tree.top)] if len(sizes) else []
     while stack:
         a, b = stack.pop()
         rows_a, rows_b = tree.nodes[a][0], tree.nodes[b][0]
@@ -211,9 +242,10 @@ def block_links(values: np.ndarray, first: np.ndarray, percent: int, labels: np.
         if inner_b:
             stack += [(a, inner_b[1]), (a, inner_b[0])]
             continue
-        overlap = tree.overlaps(rows_a, rows_b)
+        overlap = np.minimum(tree.overlaps(rows_a, rows_b), np.minimum(sizes[rows_a][:, None], sizes[rows_b][None, :]))
         near = 100 * overlap >= percent * (sizes[rows_a][:, None] + sizes[rows_b][None, :] - overlap)
-        near &= ~(visits[rows_a][:, None] & visits[rows_b][None, :])
+        if visits is not None:
+            near &= ~(visits[rows_a][:, None] & visits[rows_b][None, :])
         while True:
             open_pairs = np.flatnonzero(near & (joined[rows_a][:, None] != joined[rows_b][None, :]))
             if not len(open_pairs):
@@ -221,16 +253,81 @@ def block_links(values: np.ndarray, first: np.ndarray, percent: int, labels: np.
             p, q = divmod(int(open_pairs[0]), len(rows_b))
             i, j = int(rows_a[p]), int(rows_b[q])
             near[p, q] = False
-            if not tree.exact:
-                x, y = values[first[i] : first[i + 1]], values[first[j] : first[j + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both < percent * (len(x) + len(y) - both):
-                    continue
-            found.append((i, j))
-            joined[joined == joined[j]] = joined[i]
+            if linked is None or linked(i, j):
+                found.append((i, j))
+                joined[joined == joined[j]] = joined[i]
     return found
 
 
+def block_links(values: np.ndarray, first: np.ndarray, percent: int, labels: np.ndarray, visits: np.ndarray) -> list[tuple[int, int]]:
+    """``tree_links`` over the packed sets of a block, every link exact."""
+    tree = SignatureTree.of_sets(values, first)
+
+    def compared(i: int, j: int) -> bool:
+        x, y = values[first[i] : first[i + 1]], values[first[j] : first[j + 1]]
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return tree_links(tree, percent, labels, visits, None if tree.exact else compared)
+
+
+def near_pairs(counts: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (i, j) their signatures let pass."""
+    spare = sizes - counts.sum(1, dtype=np.int64)
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 16):
+        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        overlap = np.minimum(counts[a], counts[b]).sum(1, dtype=np.int64) + np.minimum(spare[a], spare[b])
+        overlap = np.minimum(overlap, np.minimum(sizes[a], sizes[b]))
+        out[at : at + (1 << 16)] = 100 * overlap >= percent * (sizes[a] + sizes[b] - overlap)
+    return out
+
+
+def _tie_rows(percent: int):
+    """Rows (key, class, n, counts) sorted by key come in; classes that may be linked go out as pairs that connect them."""
+
+    def ties(rows: pa.RecordBatch) -> pa.RecordBatch:
+        key, ids, sizes = (rows.column(c).to_numpy() for c in ("key", "class", "n"))
+        counts = packed(rows.column("counts"))[0].reshape(len(key), BUCKETS)
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([begin, [len(key)]]))
+        few = np.repeat(size <= FEW, size)
+        pairs = []
+        for apart in range(1, min(FEW, len(key))):
+            i = np.flatnonzero(few[:-apart] & (key[:-apart] == key[apart:]))
+            pairs.append(np.stack([ids[i], ids[i + apart]])[:, near_pairs(counts, sizes, i, i + apart, percent)])
+        for a, n in zip(begin[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+            own = ids[a : a + n]
+            if n > MOST:
+                found = [(0, j) for j in range(1, n)]
+            else:
+                found = tree_links(SignatureTree.of_counts(counts[a : a + n], sizes[a : a + n]), percent, np.arange(n))
+            pairs.append(own[np.array(found, np.int64).reshape(-1, 2)].T)
+        both = np.unique(np.sort(np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # All but the last key are complete.
+            key = batch.column("key").to_numpy()
+            cut = 0 if key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
+            if held and held[-1].column("key")[-1].as_py() != key[0]:
+                yield ties(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held = []
+            if cut:
+                held.append(batch.slice(0, cut))
+                yield ties(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield ties(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return run
+
+
 def _link_rows(k: int, percent: int):
     """Rows sorted by (unit, block) come in; a block is kept until its last row is read."""
 
@@ -314,13 +411,18 @@ def shingle_components(
     null. Equal rows each return. Other columns of ``docs`` are not looked at.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    sized = stored(docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_set_rows(k, percent), "id long, n long, class long"))
+    sized = stored(docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_set_rows(k, percent), "id long, n long, class long, counts binary"))
     classes = sized.filter("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("id"))
 
     keys = docs.filter("id is not null").select(F.col("text").cast("binary").alias("text")).mapInArrow(_key_rows(k, percent), "key long, class long")
-    # All classes of a key are tied to its first: a star, made in one pass over the sorted rows with none of them kept.
-    least = F.first("class").over(Window.partitionBy("key").orderBy("class"))
-    ties = keys.select(least.alias("a"), F.col("class").alias("b")).filter("a < b").distinct()
+    # Keys of one class are most and go; of copies one stays.
+    every, before = Window.partitionBy("key"), F.lag("class").over(Window.partitionBy("key").orderBy("class"))
+    keys = keys.select("key", "class", before.alias("before"), F.min("class").over(every).alias("low"), F.max("class").over(every).alias("high"))
+    keys = keys.filter("low <> high and (before is null or before <> class)").select("key", "class")
+    signs = sized.filter("class is not null and id is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
+    signed = keys.join(signs, "class").select("key", "class", "n", "counts")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ties = signed.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_tie_rows(percent), "a long, b long")
     groups = components(ties).withColumnsRenamed({"node": "class", "root": "unit"})
     members = classes.join(groups, "class").join(sized.groupBy("class").agg(F.first("n").alias("n")), "class")
     members = stored(members)

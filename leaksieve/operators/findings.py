@@ -85,6 +85,21 @@ def report_lines(findings: DataFrame) -> DataFrame:
     )
 
 
+def readable_report(findings: DataFrame) -> DataFrame:
+    """``report_lines`` with a heading for each file, or the one line that nothing was found.
+
+    Sort by all columns but the last; a heading has line 0.
+    """
+    headings = findings.select("path").distinct().select(
+        "path", F.lit(0).alias("line_no"), F.lit(0).alias("col"), F.lit(0).alias("part"), F.concat(F.lit("Secrets in "), "path").alias("message")
+    )
+    nothing = findings.limit(1).agg(F.count("*").alias("n")).filter("n = 0").select(
+        F.lit(None).cast("string").alias("path"), F.lit(0).alias("line_no"), F.lit(0).alias("col"), F.lit(0).alias("part"),
+        F.lit("Nothing was found.").alias("message"),
+    )
+    return headings.unionByName(report_lines(findings)).unionByName(nothing)
+
+
 def report_meta(findings: DataFrame, author: str, timestamp: str) -> DataFrame:
     return hit_total(findings).select(F.lit(timestamp).alias("timestamp"), F.lit(author).alias("author"), "freq")
 

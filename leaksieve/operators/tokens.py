@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaksieve.functions.text import drop_carriage_return, fields, split_lines
+from leaksieve.functions.text import drop_carriage_return, fields, raw_lines, split_lines
 from leaksieve.operators.languages import with_language
 
 # A quoted literal on one line, with backslash escapes; the quotes are not part of the unit.
@@ -46,6 +46,34 @@ def tokens(files: DataFrame, keep: tuple[str, ...] = ("path",), line_limit: int
     return cut.select(*keep, "line_no", (F.col("pos") + 1).cast("int").alias("col"), "token")
 
 
+def token_counts(files: DataFrame) -> DataFrame:
+    """What there is to scan in each file with tokens: their number and bytes, the sum of their ordinals, and the last line with one.
+
+    A file is one row, so nothing is grouped and nothing moves.
+    """
+    cut = F.transform(raw_lines(F.col("text")), fields)
+    per_line = F.transform(
+        "__cut",
+        lambda line, at: F.struct(
+            F.size(line).cast("bigint").alias("n"),
+            F.aggregate(line, F.lit(0).cast("bigint"), lambda total, token: total + F.octet_length(token)).alias("bytes"),
+            F.when(F.size(line) > 0, at + 1).otherwise(0).alias("line_no"),
+        ),
+    )
+
+    def total(value) -> Column:
+        return F.aggregate("__lines", F.lit(0).cast("bigint"), lambda sum_, line: sum_ + value(line))
+
+    counted = files.select("path", cut.alias("__cut")).withColumn("__lines", per_line)
+    return counted.select(
+        "path",
+        total(lambda line: line.n).alias("n_tokens"),
+        total(lambda line: (line.n * (line.n + 1) / 2).cast("bigint")).alias("sum_col"),
+        F.array_max(F.transform("__lines", lambda line: line.line_no)).cast("int").alias("last_line"),
+        total(lambda line: line.bytes).alias("n_bytes"),
+    ).filter("n_tokens > 0")
+
+
 def literals(files: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """One row per quoted literal of a file in a known language; ``byte_col`` is the byte of its opening quote in the line, from 1.
 

@@ -31,7 +31,7 @@ from leaksieve.operators.filters import (
 )
 from leaksieve.operators.languages import with_language
 from leaksieve.operators.scan import has_hit, rule_hits, scan, scan_by_file, scan_literals, scan_paths
-from leaksieve.operators.tokens import lines, tokens
+from leaksieve.operators.tokens import lines, token_counts, tokens
 from leaksieve.session import scratch_dir
 from leaksieve.sources import ignorefile
 from leaksieve.sources.tables import (
@@ -247,13 +247,7 @@ def fields_per_line(spark, folder):
 
 @query("token_totals")
 def token_totals(spark, folder):
-    rows = tokens(documents(spark, folder)).unionByName(tokens(pages(spark, folder)))
-    return rows.groupBy("path").agg(
-        F.count("*").alias("n_tokens"),
-        F.sum("col").alias("sum_col"),
-        F.max("line_no").alias("last_line"),
-        F.sum(F.octet_length("token")).alias("n_bytes"),
-    )
+    return token_counts(documents(spark, folder)).unionByName(token_counts(pages(spark, folder)))
 
 
 @query("token_scan")

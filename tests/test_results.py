@@ -174,3 +174,12 @@ def test_stream_equals_batch(spark, files_of, tmp_path):
     assert routed == {
         "one.go": "quarantined", 'quote".go': "quarantined", "later": "quarantined", "clean.go": "clean", "none": "clean",
     }
+
+
+def test_readable_report(spark, files_of):
+    found = scan(files_of({"b": f"x {SECRET}", "a": SECRET}), entropy_filter(4.0))
+    rows = derived.readable_report(found).orderBy("path", "line_no", "col", "part").collect()
+    assert [r.message for r in rows if r.line_no == 0] == ["Secrets in a", "Secrets in b"]
+    assert rows[1].message == f"Line 1 (Col 1): {SECRET}"
+    nothing = derived.readable_report(found.filter("path = 'none'")).collect()
+    assert [r.message for r in nothing] == ["Nothing was found."]

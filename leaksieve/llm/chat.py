@@ -11,13 +11,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_prefix
+from .words import Memory
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -36,14 +36,20 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
-@lru_cache(maxsize=1 << 12)
-def _shown(role: str, text: str) -> str:
-    return f"### {escape(role).replace(':', chr(92) + ':')}: {escape(text)}{_END}"
+_known = Memory(1 << 12)
+
+
+def _shown(turn: Turn) -> str:
+    shown = _known.get(turn)
+    if shown is None:
+        role, text = turn
+        shown = _known[turn] = f"### {escape(role).replace(':', chr(92) + ':')}: {escape(text)}{_END}"
+    return shown
 
 
 def turn_template(turns: list[Turn]) -> str:
     """``### role: text</turn>`` and a line feed for each turn."""
-    return "".join([_shown(role, text) for role, text in turns])
+    return "".join([_shown(turn) for turn in turns])
 
 
 def read_turns(formatted: str) -> list[Turn]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Sent:
+    """A value of bounded size for every task: broadcast as a pickle that holds its classes, so workers need no copy of them."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self._pickled = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value = None
+
+    def __getstate__(self) -> dict:
+        return {"_pickled": self._pickled, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = pickle.loads(self._pickled.value)
+        return self._value
+
+
 def small(frame: DataFrame, rows: int | None = None) -> DataFrame:
     """Marks a stored frame for broadcast if its counted rows are within the bound; else Spark shuffles."""
     bound = BROADCAST_ROWS if rows is None else rows

@@ -21,10 +21,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Sent
 from .words import STEP, Words, mixed, packed
 
 RADIUS = 23
@@ -144,7 +144,7 @@ class BenchmarkIndex:
 LINKS = "array<struct<item_id:bigint,similarity:double,first_word:bigint>>"
 
 
-def _links(index: Broadcast):
+def _links(index: Sent):
     @F.arrow_udf(LINKS)
     def links(column: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())]))
@@ -163,7 +163,7 @@ def item_links(docs: DataFrame, benchmark: DataFrame, text: Column, item_column:
     out = []
     for i in range(passes):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == i).orderBy("item", "text").collect()  # about pass_bytes
-        sent = spark.sparkContext.broadcast(BenchmarkIndex([(r["item"], r["text"]) for r in part], **options))
+        sent = Sent(spark, BenchmarkIndex([(r["item"], r["text"]) for r in part], **options))
         out.append(_links(sent)(text.cast("string")))
     return out
 

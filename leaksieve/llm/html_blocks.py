@@ -21,13 +21,15 @@ import re
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Sent
+from .words import Memory
+
 #: Pages that are learned from at most, and characters of each.
 SAMPLE_PAGES = 400
 SAMPLE_CHARS = 60_000
@@ -64,10 +66,15 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _PART = re.compile(r"[a-zA-Z]+")
 
 
-@lru_cache(maxsize=1 << 14)
+_known_names, _known_paths = Memory(), Memory()
+
+
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
-    parts = [part.lower() for found in _NAMED.findall(attributes) for part in _PART.findall("".join(found))]
-    return (tag, *parts)
+    names = _known_names.get((tag, attributes))
+    if names is None:
+        parts = [part.lower() for found in _NAMED.findall(attributes) for part in _PART.findall("".join(found))]
+        names = _known_names[tag, attributes] = (tag, *parts)
+    return names
 
 
 @dataclass
@@ -136,21 +143,21 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-class _Cells(dict):
-    """The cell of each word: below ``WORD_DIMS`` it counts up, from there on down. Begun anew when it has grown large."""
+class _Cells(Memory):
+    """The cell of each word: below ``WORD_DIMS`` it counts up, from there on down."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 17:
-            self.clear()
         self[word] = cell = zlib.crc32(word.lower().encode("utf-8", "replace")) % (2 * WORD_DIMS)
         return cell
 
 
-_cells = _Cells()
+_cells = _Cells(1 << 17)
 
 
-@lru_cache(maxsize=1 << 14)
 def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
+    known = _known_paths.get(path)
+    if known is not None:
+        return known
     out = np.zeros(PATH_DIMS, np.float32)
     names = {name for names in path for name in names} - {"html", "body"}
     for name in names:
@@ -161,7 +168,8 @@ def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
             out[1] += 1
         code = zlib.crc32(f"path:{name}".encode("utf-8", "replace"))
         out[2 + (code >> 1) % (PATH_DIMS - 2)] += 1 if code & 1 else -1
-    return np.clip(out, -2, 2)
+    out = _known_paths[path] = np.clip(out, -2, 2)
+    return out
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
@@ -402,7 +410,7 @@ _ROOM = 4 << 20
 
 def main_text(labeller: BlockLabeller, page: Column, spark) -> Column:
     """The kept blocks of each page, two line feeds between them; null and empty pages give an empty text."""
-    sent = spark.sparkContext.broadcast(labeller)
+    sent = Sent(spark, labeller)
 
     @F.arrow_udf("string")
     def extract(column: pa.Array) -> pa.Array:

@@ -42,7 +42,7 @@ LEAF = 16
 #: Bits of a signature at most.
 MOST_BITS = 1 << 14
 #: Buckets of the small signatures.
-BUCKETS = 64
+BUCKETS = 256
 #: Classes of a key up to which all pairs are looked at; beyond, a tree; beyond the second all are tied as they are.
 FEW, MOST = 16, 20_000
 #: Members and bytes of text of a group that one task takes at once.
@@ -332,7 +332,9 @@ def _link_rows(k: int, percent: int):
     """Rows sorted by (unit, block) come in; a block is kept until its last row is read."""
 
     def links(rows: pa.Table) -> pa.RecordBatch:
-        values, first = text_sets(rows.column("text").combine_chunks(), k)
+        parts = [text_sets(step.column("text"), k) for batch in rows.to_batches() for step in steps(batch, "text")]
+        values = np.concatenate([v for v, _ in parts])
+        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
         ids = np.array(class_ids(values, first), np.int64)
         # A row whose text is not the class's own shares its id with another document.
         own = ids == rows.column("class").to_numpy()

@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Sent
 from .words import packed
 
 #: Labelled rows of each class, and characters of each, that are fitted on at most.
@@ -126,7 +127,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
 
 def quality_score(model: QualityModel, text: Column, spark) -> Column:
     """The probability that a text is good, for every text; null counts as empty."""
-    sent = spark.sparkContext.broadcast(model)
+    sent = Sent(spark, model)
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Sent
 from .words import mixed, packed, steps
 
 ORDER = 5
@@ -135,7 +136,7 @@ def fit_urls(labelled: DataFrame) -> UrlModel:
 
 def url_score(model: UrlModel, url: Column, spark) -> Column:
     """Log-likelihood difference per byte, accepted less rejected; null is an empty URL."""
-    sent = spark.sparkContext.broadcast(model)
+    sent = Sent(spark, model)
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:

@@ -60,7 +60,23 @@ def _spaces() -> np.ndarray:
     return table
 
 
-_powers: dict[str, np.ndarray] = {}
+class Memory(dict):
+    """What a process remembers between calls; it goes to no other, and begins anew when it holds ``most`` entries."""
+
+    def __init__(self, most: int = 1 << 14) -> None:
+        super().__init__()
+        self.most = most
+
+    def __reduce__(self) -> tuple:
+        return type(self), (self.most,)
+
+    def __setitem__(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.clear()
+        super().__setitem__(key, value)
+
+
+_powers = Memory()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

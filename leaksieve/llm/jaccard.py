@@ -47,7 +47,7 @@ BUCKETS = 256
 FEW, MOST = 16, 20_000
 #: Members and bytes of text of a group that one task takes at once.
 BLOCK_ROWS = 2000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def grades(percent: int, size: int) -> list[int]:

@@ -430,7 +430,9 @@ def mask_lines(spark, folder):
 @query("mask_reported")
 def mask_reported(spark, folder):
     files = documents(spark, folder)
-    return masking.mask_reported(files, scan_by_file(files, entropy_filter(PROSE_LIMIT))).select("path", "text")
+    stored = scratch_dir(spark, "reported")
+    scan_by_file(files, entropy_filter(PROSE_LIMIT)).write.parquet(stored)
+    return masking.mask_reported(files, spark.read.parquet(stored)).select("path", "text")
 
 
 @query("restore_lines")

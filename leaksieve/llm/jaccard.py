@@ -8,7 +8,7 @@
    share a key may be linked. The number of parts depends on a size grade;
    linked sets lie in the same or in neighbouring grades.
 3. The classes of a key meet with small signatures, how many of their elements fall in
-   each of 64 buckets, as bitmaps: bit (bucket, i) is set if there are more than i.
+   each of 512 buckets, as bitmaps: bit (bucket, i) is set if there are more than i.
    The common bits of two bound their overlap. What the bound lets pass ties
    classes to candidate groups (components by joins). Each text of a group
    moves once, to the task of its group.
@@ -18,9 +18,9 @@
    together while the overlap that they could have at most would link some
    pair; pairs that links already join are passed over, so a group of near
    copies costs about a comparison per member.
-5. A group beyond ``block_rows`` is dealt over blocks. Members that are not in
-   the group's largest component so far visit every other block, so no link
-   between different components is missed.
+5. A group beyond ``block_rows`` is dealt over blocks, each taken by itself. Then
+   two blocks meet in a task unless all their members are in one component by then,
+   so no link between different components is missed.
 6. Links joined over all groups give the component of each class.
 """
 
@@ -42,7 +42,7 @@ LEAF = 16
 #: Bits of a signature at most.
 MOST_BITS = 1 << 14
 #: Buckets of the small signatures.
-BUCKETS = 256
+BUCKETS = 512
 #: Classes of a key up to which all pairs are looked at; beyond, a tree; beyond the second all are tied as they are.
 FEW, MOST = 16, 20_000
 #: Members and bytes of text of a group that one task takes at once.
@@ -121,11 +121,11 @@ def text_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_counts(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """How many elements of each packed set fall in each bucket, 255 at most."""
+    """How many elements of each packed set fall in each bucket, 15 at most."""
     n = len(first) - 1
     bucket = (mixed(values ^ np.uint64(0x5C5C5C5C)) % np.uint64(BUCKETS)).astype(np.int64)
     counts = np.bincount(np.repeat(np.arange(n), np.diff(first)) * BUCKETS + bucket, minlength=n * BUCKETS)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(n, BUCKETS)
+    return np.minimum(counts, 15).astype(np.uint8).reshape(n, BUCKETS)
 
 
 def _set_rows(k: int, percent: int):
@@ -136,7 +136,7 @@ def _set_rows(k: int, percent: int):
                 size = np.diff(first)
                 ids = pa.array(class_ids(values, first), pa.int64(), mask=size == 0)
                 counts = bucket_counts(values, first)
-                signs = pa.array([row.tobytes() for row in counts], pa.binary())
+                signs = pa.array([row.tobytes() for row in counts[:, ::2] | counts[:, 1::2] << 4], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), ids, signs], ["id", "n", "class", "counts"])
 
     return run
@@ -215,13 +215,13 @@ class SignatureTree:
 
 
 def tree_links(
-    tree: SignatureTree, percent: int, labels: np.ndarray, visits: np.ndarray | None = None, linked: Callable[[int, int], bool] | None = None
+    tree: SignatureTree, percent: int, labels: np.ndarray, sides: np.ndarray | None = None, linked: Callable[[int, int], bool] | None = None
 ) -> list[tuple[int, int]]:
     """Links that join the members of a tree, as far as they join what labels and earlier links don't.
 
-    ``labels`` are components known before; ``visits`` marks members that
-    came from another block: pairs of two visitors are another block's work. Pairs that pass
-    the bound are links if ``linked`` says so.
+    ``labels`` are components known before. With ``sides``, which say from which of two
+    blocks a member comes, only pairs of both blocks are looked at. Pairs that pass the bound
+    are links if ``linked`` says so.
     """
     joined = np.unique(labels, return_inverse=True)[1]
     sizes, found = tree.sizes, []
@@ -244,8 +244,8 @@ def tree_links(
             continue
         overlap = np.minimum(tree.overlaps(rows_a, rows_b), np.minimum(sizes[rows_a][:, None], sizes[rows_b][None, :]))
         near = 100 * overlap >= percent * (sizes[rows_a][:, None] + sizes[rows_b][None, :] - overlap)
-        if visits is not None:
-            near &= ~(visits[rows_a][:, None] & visits[rows_b][None, :])
+        if sides is not None:
+            near &= sides[rows_a][:, None] != sides[rows_b][None, :]
         while True:
             open_pairs = np.flatnonzero(near & (joined[rows_a][:, None] != joined[rows_b][None, :]))
             if not len(open_pairs):
@@ -259,7 +259,7 @@ def tree_links(
     return found
 
 
-def block_links(values: np.ndarray, first: np.ndarray, percent: int, labels: np.ndarray, visits: np.ndarray) -> list[tuple[int, int]]:
+def block_links(values: np.ndarray, first: np.ndarray, percent: int, labels: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """``tree_links`` over the packed sets of a block, every link exact."""
     tree = SignatureTree.of_sets(values, first)
 
@@ -268,7 +268,7 @@ def block_links(values: np.ndarray, first: np.ndarray, percent: int, labels: np.
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= percent * (len(x) + len(y) - both)
 
-    return tree_links(tree, percent, labels, visits, None if tree.exact else compared)
+    return tree_links(tree, percent, labels, sides, None if tree.exact else compared)
 
 
 def near_pairs(counts: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -288,7 +288,8 @@ def _tie_rows(percent: int):
 
     def ties(rows: pa.RecordBatch) -> pa.RecordBatch:
         key, ids, sizes = (rows.column(c).to_numpy() for c in ("key", "class", "n"))
-        counts = packed(rows.column("counts"))[0].reshape(len(key), BUCKETS)
+        halves = packed(rows.column("counts"))[0].reshape(len(key), BUCKETS // 2)
+        counts = np.stack([halves & 15, halves >> 4], axis=2).reshape(len(key), BUCKETS)
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([begin, [len(key)]]))
         few = np.repeat(size <= FEW, size)
@@ -343,8 +344,9 @@ def _link_rows(k: int, percent: int):
             values = values[np.repeat(own, np.diff(first))]
             first = np.concatenate([[0], np.cumsum(np.diff(first)[own])])
             ids, labels = ids[own], labels[own]
-        visits = rows.column("visit").to_numpy(zero_copy_only=False)[own]
-        found = block_links(values, first, percent, labels, visits)
+        sides = rows.column("side").to_numpy(zero_copy_only=False)[own]
+        # A block by itself has all its rows on one side.
+        found = block_links(values, first, percent, labels, sides if sides.any() else None)
         ends = np.array(found, np.int64).reshape(-1, 2)
         # As stars: later joins then take few rounds.
         root: dict[int, int] = {}
@@ -390,7 +392,7 @@ def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def _block_pass(rows: DataFrame, k: int, percent: int) -> DataFrame:
     width = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows = rows.select("unit", "block", "class", "label", "visit", F.col("text").cast("binary").alias("text"))
+    rows = rows.select("unit", "block", "class", "label", "side", F.col("text").cast("binary").alias("text"))
     dealt = rows.repartition(int(width), "unit", "block").sortWithinPartitions("unit", "block")
     return dealt.mapInArrow(_link_rows(k, percent), "a long, b long")
 
@@ -434,7 +436,7 @@ def shingle_components(
     split = stored(extent.select("unit", blocks.alias("blocks")).filter("blocks > 1"))
     dealt = members.join(split, "unit", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), "blocks").cast("int"))
-    first = dealt.select("id", "class", "unit", "block", F.col("class").alias("label"), F.lit(False).alias("visit"))
+    first = dealt.select("id", "class", "unit", "block", F.col("class").alias("label"), F.lit(False).alias("side"))
     links = stored(_block_pass(_texts(docs, stored(first)), k, percent))
     if split.limit(1).count():
         links = stored(links.unionAll(_visits(docs, dealt.filter("blocks > 1"), links, k, percent)))
@@ -449,17 +451,20 @@ def shingle_components(
 
 
 def _visits(docs: DataFrame, dealt: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between blocks of a group: whoever is outside its largest component visits the other blocks."""
+    """Links between the blocks of a group: pairs of blocks that hold anyone outside the group's largest component."""
     roots = components(links).withColumnsRenamed({"node": "class", "root": "label"})
     dealt = stored(dealt.join(roots, "class", "left").withColumn("label", F.coalesce("label", "class")))
     counts = dealt.groupBy("unit", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("unit").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    away = dealt.join(main, "unit").filter("label <> main")
-    guests = away.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("to <> block")
-    guests = guests.select("id", "class", "unit", F.col("to").alias("block"), "label", F.lit(True).alias("visit"))
-    open_blocks = guests.select("unit", "block").distinct()
-    hosts = dealt.join(open_blocks, ["unit", "block"]).select("id", "class", "unit", "block", "label", F.lit(False).alias("visit"))
-    return _block_pass(_texts(docs, stored(hosts.unionAll(guests))), k, percent)
+    state = dealt.join(main, "unit").groupBy("unit", "block").agg(F.max(F.col("label") != F.col("main")).alias("open"))
+    state = stored(state)
+    every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")
+    every = every.join(state, ["unit", "block"]).join(state.select("unit", F.col("block").alias("other"), F.col("open").alias("open_too")), ["unit", "other"])
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    met = every.filter("open or open_too").select(
+        "id", "class", "unit", (low * F.col("blocks") + high).cast("int").alias("pair"), "label", (F.col("block") == high).alias("side")
+    )
+    return _block_pass(_texts(docs, stored(met.withColumnRenamed("pair", "block"))), k, percent)
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -94,7 +94,7 @@ def test_a_tree_passes_over_what_is_joined(monkeypatch):
     looked = []
     overlaps = jaccard.SignatureTree.overlaps
     monkeypatch.setattr(jaccard.SignatureTree, "overlaps", lambda self, a, b: looked.append(len(a) * len(b)) or overlaps(self, a, b))
-    links = jaccard.block_links(np.concatenate(sets), first, 85, np.arange(600), np.zeros(600, bool))
+    links = jaccard.block_links(np.concatenate(sets), first, 85, np.arange(600))
     assert len(links) == 599
     assert sum(looked) < 600 * 600 / 4
 
@@ -107,7 +107,7 @@ def test_folded_bitmaps_are_verified(monkeypatch):
         base = rng.integers(1 << 40, size=60).astype(np.uint64)
         sets += [np.unique(base), np.unique(np.concatenate([base[:-5], rng.integers(1 << 41, 1 << 42, 5).astype(np.uint64)])), np.unique(base[: rng.integers(40, 60)])]
     first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    got = jaccard.block_links(np.concatenate(sets), first, 80, np.arange(len(sets)), np.zeros(len(sets), bool))
+    got = jaccard.block_links(np.concatenate(sets), first, 80, np.arange(len(sets)))
     true = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
     assert roots_of(range(len(sets)), got) == roots_of(range(len(sets)), true)
 

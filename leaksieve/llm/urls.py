@@ -3,8 +3,14 @@
 The models are Markov chains over bytes. The chance of a byte blends all orders
 up to ``ORDER``: an order counts for more the more often its context was seen. One
 chain is counted over URLs that a rule allows, one over URLs that a rule blocks. A
-URL's score is the difference of its log-likelihoods per byte; the cut is
-set where it parts best those rule-labelled URLs that the chains have not seen.
+URL's score is the difference of its log-likelihoods per byte; the cut is set
+where chains over half of the rule-labelled URLs part the other half best, and
+the scores are those of chains over all of them.
+
+A byte and the ``ORDER - 1`` before it, which decide its chance, are one number, its
+gram. Grams are counted exactly, in a table that grows with the URLs; shorter n-grams and
+contexts are sums over it. Each distinct gram gets its log ratio once, and
+URLs join that table.
 """
 
 from __future__ import annotations
@@ -17,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sent
+from .common import small, stored
 from .words import mixed, packed, steps
 
 ORDER = 5
-#: Counters for each order and class; n-grams share them by hash, so a model has one size for any corpus.
+#: Bits of a gram's symbol: a byte, the end of a URL, or the place before its first byte.
+WIDTH = 9
+#: Counters for each order and class of the sketch ``UrlModel``, which n-grams share by hash. No query uses it.
 CELLS = 1 << 16
 #: Sightings of a context at which it counts for as much as all shorter ones together.
 BLEND = 4.0
@@ -52,7 +60,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 
 @dataclass
 class UrlModel:
-    """``counts[class][order]`` of n-grams and of their contexts (the n-gram without its last byte)."""
+    """A sketch of one size for any corpus: ``counts[class][order]`` of n-grams and of their contexts (the n-gram without its last byte)."""
 
     counts: np.ndarray
     contexts: np.ndarray
@@ -70,8 +78,8 @@ class UrlModel:
         return (logs[1] - logs[0]) / np.maximum(1, np.bincount(owner, minlength=len(column)))
 
 
-def _with_contexts(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Cells of n-grams and of their contexts; order 0's context is everything."""
+def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all URLs, ``ORDER`` zeros before each and a one behind it; the places of bytes and ends, and the URL of each."""
     data, ends = packed(column)
     count = np.diff(ends)
     start = ends[:-1] + np.arange(len(count)) * (ORDER + 1)
@@ -81,6 +89,12 @@ def _with_contexts(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]
     wide[start + ORDER + count] = 1
     owner = np.repeat(np.arange(len(count)), count + 1)
     at = start[owner] + ORDER + np.arange(len(owner)) - (ends[:-1] + np.arange(len(count)))[owner]
+    return wide, at, owner
+
+
+def _with_contexts(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Cells of n-grams and of their contexts; order 0's context is everything."""
+    wide, at, owner = _symbols(column)
     full, before, context = [], [], np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for order in range(ORDER):
@@ -106,43 +120,103 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(tables.reshape(-1)[places])], ["cell", "n"])
 
 
-def fit_urls(labelled: DataFrame) -> UrlModel:
-    """Models from all rows of (url, kind), kind 1 allowed and 0 blocked; half of the distinct URLs, by hash, set the cut.
-
-    What reaches the driver is bounded by the cells and bins, whatever the
-    input. Without URLs of both kinds every score meets the cut of 0 or
-    lies at 0, which allows.
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, label, url) come in; the distinct grams of each URL go out with how often it holds them."""
+    for whole in batches:
+        for batch in steps(whole, "url"):
+            wide, at, owner = _symbols(batch.column("url"))
+            gram = np.zeros(len(at), np.uint64)
+            for back in range(ORDER):
+                gram |= wide[at - back] << np.uint64(WIDTH * back)
+            order = np.lexsort((gram, owner))
+            gram, owner = gram[order], owner[order]
+            begin = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])]))
+            n, url = np.diff(np.append(begin, len(gram))), pa.array(owner[begin])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(url), batch.column("label").take(url), pa.array(gram[begin].view(np.int64)), pa.array(n)],
+                ["row", "label", "gram", "n"],
+            )
+
+
+#: Counts of a gram in blocked and allowed URLs: in those learned before the cut is set, and in all.
+_COUNTS = ("half0", "half1", "all0", "all1")
+
+
+def _keys() -> list[Column]:
+    """A gram's n-gram of each order, then its context of each order, numbered in the bits above the symbols."""
+    grams = [F.col("gram").bitwiseAND(F.lit((1 << WIDTH * (order + 1)) - 1)) for order in range(ORDER)]
+    slots = [*grams, *[F.shiftright(g, WIDTH) for g in grams]]
+    return [key.bitwiseOR(F.lit(slot << WIDTH * ORDER)) for slot, key in enumerate(slots)]
+
+
+def _chance(count: str) -> Column:
+    """The blended chance of a gram's last symbol; ``seen`` has the counts of its keys in their order."""
+    chance = F.lit(1 / 257)
+    for order in range(ORDER):
+        n, context = (F.coalesce(F.col("seen")[slot][count], F.lit(0)) for slot in (order, ORDER + order))
+        chance = (n + BLEND * chance) / (context + BLEND)
+    return chance
+
+
+def gram_ratios(counted: DataFrame) -> DataFrame:
+    """(gram, half, whole): the log ratio of the gram's chances in either pair of chains.
+
+    ``counted`` has each distinct gram with its ``_COUNTS``. N-grams of two symbols
+    and contexts of two are bounded by the alphabet and hot, so they are broadcast;
+    at most 2^18 grams share any longer one.
     """
-    labelled = labelled.select(F.coalesce("url", F.lit("")).cast("binary").alias("url"), F.col("kind").cast("int").alias("kind"), (F.pmod(F.xxhash64("url", F.lit(7)), F.lit(2)) == 0).alias("learn"))
-    cells = labelled.filter("learn").select("url", "kind").mapInArrow(_count_rows, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    tables = np.zeros(4 * ORDER * CELLS)
-    tables[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    tables = tables.reshape(2, 2, ORDER, CELLS)
-    model = UrlModel(tables[:, 0], tables[:, 1])
-    if not tables[0].any() or not tables[1].any():
-        return UrlModel(tables[:, 0] * 0, tables[:, 1] * 0)
-    step = F.least(F.greatest(F.floor((url_score(model, F.col("url"), labelled.sparkSession) + LIMIT) * (BINS / (2 * LIMIT))), F.lit(0)), F.lit(BINS - 1))
-    bins = labelled.filter("not learn").select("kind", step.cast("int").alias("bin")).groupBy("kind", "bin").count().toPandas()
+    seen = counted.filter("all0 + all1 > 0").select(F.explode(F.array(*_keys())).alias("key"), *_COUNTS)
+    seen = stored(seen.groupBy("key").agg(*[F.sum(c).alias(c) for c in _COUNTS]))
+    wanted = counted.select("gram", F.explode(F.array(*_keys())).alias("key"))
+    slot = F.shiftright("key", WIDTH * ORDER)
+    bounded = slot.isin(0, 1, ORDER, ORDER + 1, ORDER + 2)
+    found = wanted.filter(bounded).join(F.broadcast(seen.filter(bounded)), "key", "left")
+    found = found.unionAll(wanted.filter(~bounded).join(small(seen.filter(~bounded)), "key", "left"))
+    found = found.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("key", *_COUNTS))).alias("seen"))
+    return found.select("gram", *[(F.log(_chance(f"{c}1")) - F.log(_chance(f"{c}0"))).alias(name) for c, name in (("half", "half"), ("all", "whole"))])
+
+
+def best_cut(scored: DataFrame) -> float:
+    """The cut between steps of (kind, score) that parts the kinds best; 0 unless there are both."""
+    step = F.least(F.greatest(F.floor((F.col("score") + LIMIT) * (BINS / (2 * LIMIT))), F.lit(0)), F.lit(BINS - 1))
+    bins = scored.select("kind", step.cast("int").alias("bin")).groupBy("kind", "bin").count().toPandas()
     shares = np.zeros((2, BINS))
     for kind, place, n in bins.itertuples(index=False):
         shares[kind, place] = n
-    shares = np.cumsum(shares / np.maximum(1, shares.sum(1, keepdims=True)), axis=1)
+    if not shares.any(1).all():
+        return 0.0
+    shares = np.cumsum(shares / shares.sum(1, keepdims=True), axis=1)
     # A cut after bin i blocks what lies in it or before.
     gain = shares[0] - shares[1]
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    model.cut = float((best[len(best) // 2] + 1) * (2 * LIMIT / BINS) - LIMIT)
-    return model
+    return float((best[len(best) // 2] + 1) * (2 * LIMIT / BINS) - LIMIT)
 
 
-def url_score(model: UrlModel, url: Column, spark) -> Column:
-    """Log-likelihood difference per byte, accepted less rejected; null is an empty URL."""
-    sent = Sent(spark, model)
+def url_scores(rows: DataFrame) -> tuple[DataFrame, float]:
+    """(row, score) for rows of (row, url, kind), kind 1 allowed, 0 blocked or null, and the cut.
 
-    @F.arrow_udf("double")
-    def score(column: pa.Array) -> pa.Array:
-        return pa.array(sent.value.scores(column))
-
-    return score(url.cast("binary"))
+    ``rows`` are stored. Half of the distinct URLs with a kind, by hash, are learned before the
+    cut is set and all thereafter. Without URLs of both kinds every score and the cut
+    are 0, which allows; without both kinds in each half the cut is 0.
+    """
+    learn = F.pmod(F.xxhash64("url", F.lit(7)), F.lit(2)) == 0
+    url = F.coalesce("url", F.lit("")).cast("binary")
+    label = F.coalesce(F.col("kind") + F.when(learn, 2).otherwise(0), F.lit(-1)).cast("int")
+    grams = rows.select("row", label.alias("label"), url.alias("url")).mapInArrow(_gram_rows, "row long, label int, gram long, n long")
+    # Label and count: half0, half1, all0, all1.
+    labels = ((2,), (3,), (0, 2), (1, 3))
+    counts = [F.sum(F.when(F.col("label").isin(*of), F.col("n")).otherwise(0)).alias(c) for c, of in zip(_COUNTS, labels, strict=True)]
+    counted = stored(grams.groupBy("gram").agg(*counts))
+    half0, half1, all0, all1 = counted.agg(*[F.sum(c) for c in _COUNTS]).first()
+    if not all0 or not all1:
+        return rows.select("row", F.lit(0.0).alias("score")), 0.0
+    ratios = stored(gram_ratios(counted))
+    # Decimals, so that the order of the terms doesn't show.
+    sums = [F.sum((F.col("n") * F.col(c)).cast("decimal(30,18)")).cast("double") / F.sum("n") for c in ("half", "whole")]
+    scored = grams.join(small(ratios), "gram").groupBy("row", "label").agg(sums[0].alias("half"), sums[1].alias("score"))
+    scored = stored(scored)
+    unseen = scored.filter("label in (0, 1)").select(F.col("label").alias("kind"), F.col("half").alias("score"))
+    return scored.select("row", "score"), best_cut(unseen) if half0 and half1 else 0.0
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_column: str = "page_id", url_column: str = "url") -> DataFrame:
@@ -158,7 +232,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_column: st
     rule, decided = rule_of(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col(id_column), url.alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("rule", rule).withColumn("decided", decided)
-    model = fit_urls(rows.filter("decided is not null").select("url", (F.col("decided") == "allow").cast("int").alias("kind")))
-    scored = rows.withColumn("score", url_score(model, F.col("url"), pages.sparkSession))
-    verdict = F.coalesce("decided", F.when(F.col("score") >= model.cut, "allow").otherwise("block"))
-    return scored.select(id_column, "host", "path", "rule", verdict.alias("verdict"), "score")
+    # Once stored, a row keeps its number.
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
+    scores, cut = url_scores(rows.select("row", "url", (F.col("decided") == "allow").cast("int").alias("kind")))
+    verdict = F.coalesce("decided", F.when(F.col("score") >= cut, "allow").otherwise("block"))
+    return rows.join(scores, "row").select(id_column, "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -1,8 +1,14 @@
+import math
+import random
+import string
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from leaksieve.llm import urls
+from leaksieve.llm import common, urls
 from leaksieve.llm.queries import URL_RULES
 
 CASES = [
@@ -82,3 +88,47 @@ def test_chances_add_up():
     other = model.scores(pa.array(["QQQQQQQQQQQQ", ""], pa.string()))
     assert seen.min() > other[0]
     assert np.isfinite(other).all()
+
+
+def plain_scores(rows):
+    """Scores and cut's chains by the book: dictionaries of all n-grams and contexts over all labelled URLs."""
+    grams, contexts = Counter(), Counter()
+
+    def places(url):
+        text = [-1] * urls.ORDER + list((url or "").encode()) + [256]
+        return [[tuple(text[i - order : i + 1]) for order in range(urls.ORDER)] for i in range(urls.ORDER, len(text))]
+
+    for url, kind in rows:
+        for gram in (g for place in places(url) for g in place if kind is not None):
+            grams[kind, gram] += 1
+            contexts[kind, len(gram), gram[:-1]] += 1
+    out = []
+    for url, _ in rows:
+        total = 0.0
+        for place in places(url):
+            chances = []
+            for kind in (0, 1):
+                chance = 1 / 257
+                for gram in place:
+                    chance = (grams[kind, gram] + urls.BLEND * chance) / (contexts[kind, len(gram), gram[:-1]] + urls.BLEND)
+                assert 0 < chance < 1
+                chances.append(chance)
+            total += math.log(chances[1]) - math.log(chances[0])
+        out.append(total / len(places(url)))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [common.BROADCAST_ROWS, 0])
+def test_scores_are_those_of_exact_counts(spark, monkeypatch, broadcast):
+    # More distinct n-grams of five than the sketch has counters.
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(5)
+    letters = string.ascii_letters + string.digits
+    texts = [f"http://{rng.choice(['a', 'b', 'c'])}.net/{''.join(rng.choices(letters, k=30))}" for _ in range(5000)]
+    texts += [None, "", "é", texts[0], "http://a.net/" + "x" * 3000]
+    got = urls.judge_urls(table(spark, list(enumerate(texts))), [("allow", "a.net/"), ("block", "b.net/")]).collect()
+    kinds = [None if not t or "://" not in t else {"a": 1, "b": 0}.get(t[7]) for t in texts]
+    assert len({t[i : i + 5] for t in texts if t for i in range(len(t) - 4)}) > urls.CELLS
+    want = plain_scores(list(zip(texts, kinds, strict=True)))
+    assert len(got) == len(texts)
+    assert max(abs(r["score"] - want[r["page_id"]]) for r in got) < 1e-9

@@ -1,6 +1,7 @@
 """Benchmark items inside documents, found by SimHash over item-sized windows.
 
-Every window of as many words as an item has gets a SimHash of its shingles.
+Every window of as many words as an item has gets a SimHash of its shingles; a
+text of fewer words is one window as it is.
 Fingerprints are cut into eight blocks; if two differ in at most ``RADIUS`` bits,
 some block differs in at most ``RADIUS // 8``. A table per block lists the items
 within that distance of each value, so no fingerprint within the radius is
@@ -11,7 +12,8 @@ how often it occurs.
 A window can only reach the similarity if enough of its places hold a shingle of
 some item; windows without are passed over before any fingerprint is made.
 Radius 23 of 64 bits lies 4.6 standard deviations above the distance to be
-expected of windows at similarity 0.8.
+expected of windows at similarity 0.8. Texts shorter than the item are compared
+with the fingerprints of all items of that length, within a wider radius.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .common import Sent
 from .words import STEP, Words, mixed, packed
 
 RADIUS = 23
+#: Added to the radius for a text shorter than the item; eight words and nine have other majorities in 12 bits on average.
+UNEVEN = 4
 BLOCKS = 8
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -112,6 +116,7 @@ class BenchmarkIndex:
             for size in self.sizes.values():
                 if size.k == k:
                     self._windows(size, words, shingles, before, found, offset)
+                    self._short(size, words, shingles, before, found, offset)
 
     def _windows(self, size: Sized, words: Words, shingles: np.ndarray, before: np.ndarray, found: list[dict], offset: int) -> None:
         span = size.words - size.k + 1
@@ -119,20 +124,41 @@ class BenchmarkIndex:
             return
         starts = np.flatnonzero(before[span:] - before[: len(before) - span] >= self.similarity * span - 1e-9)
         starts = starts[words.text[starts] == words.text[starts + size.words - 1]]
+        self._compare(size, words, shingles, starts, span, found, offset)
+
+    def _short(self, size: Sized, words: Words, shingles: np.ndarray, before: np.ndarray, found: list[dict], offset: int) -> None:
+        """Texts of fewer words than the items, each as one window; one of fewer words than a shingle shares none."""
+        count = np.diff(words.first)
+        wanted = size.words - size.k + 1
+        rows = np.flatnonzero((count < size.words) & (count >= size.k))
+        # At the most all shingles of a text are the item's.
+        rows = rows[count[rows] - size.k + 1 >= self.similarity * wanted - 1e-9]
+        for span in np.unique(count[rows] - size.k + 1).tolist():
+            starts = words.first[rows[count[rows] - size.k + 1 == span]]
+            starts = starts[before[starts + span] - before[starts] >= self.similarity * wanted - 1e-9]
+            self._compare(size, words, shingles, starts, span, found, offset)
+
+    def _compare(self, size: Sized, words: Words, shingles: np.ndarray, starts: np.ndarray, span: int, found: list[dict], offset: int) -> None:
+        """The windows of ``span`` shingles from each start against the items of one length."""
+        wanted_span = size.words - size.k + 1
+        radius = self.radius if span == wanted_span else self.radius + UNEVEN
         room = max(1, _ROOM // (64 * span + BLOCKS * len(size.ids)))
         for i in range(0, len(starts), room):
             some = starts[i : i + room]
             shown = shingles[some[:, None] + np.arange(span)]
             prints = fingerprints(shown)
-            close = np.zeros((len(some), len(size.ids)), bool)
-            for b in range(BLOCKS):
-                close |= size.near[b][prints[:, b]]
+            if span == wanted_span:
+                close = np.zeros((len(some), len(size.ids)), bool)
+                for b in range(BLOCKS):
+                    close |= size.near[b][prints[:, b]]
+            else:
+                close = _ONES[prints[:, None] ^ size.prints].sum(2, dtype=np.int32) <= radius
             for w, item in np.argwhere(close).tolist():
-                if int(_ONES[prints[w] ^ size.prints[item]].sum()) > self.radius:
+                if int(_ONES[prints[w] ^ size.prints[item]].sum()) > radius:
                     continue
                 bag, wanted = Counter(shown[w].tolist()), size.bags[item]
                 same = (bag & wanted).total()
-                score = same / (2 * span - same)
+                score = same / (span + wanted_span - same)
                 if score >= self.similarity:
                     row = int(words.text[some[w]])
                     at = -int(some[w] - words.first[row])

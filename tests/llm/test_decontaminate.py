@@ -90,3 +90,37 @@ def test_index_finds_all_within_the_radius():
             for bit in rng.sample(range(64), dc.RADIUS):
                 flipped[bit // 8] ^= 1 << bit % 8
             assert any(size.near[b][flipped[b], n] for b in range(dc.BLOCKS))
+
+
+def brute_whole(rows, items):
+    """As ``brute``, and a text shorter than the item is one window."""
+    out = brute(rows, items)
+    for doc, text in rows:
+        w = words(text)
+        for item, wanted in items:
+            v = words(wanted)
+            if 0 < len(w) < len(v):
+                a, b = bag(w, min(5, len(v))), bag(v, min(5, len(v)))
+                score = (a & b).total() / (a | b).total()
+                if score >= 0.8:
+                    out.append((doc, item, score, 0))
+    return sorted(out, key=repr)
+
+
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(11)
+    items = [(n, prose(rng, size)) for n, size in enumerate([59, 38, 38, 25, 12, 10, 6, 5, 2])]
+    items += [(20 + n, prose(rng, 9)) for n in range(60)] + [(90, "a b a b a b a b a b a b a b"), (91, items[1][1])]
+    texts = []
+    for _, text in items:
+        w = text.split()
+        for n in (1, 2, 5, 12):
+            texts += [" ".join(w[n:]), " ".join(w[:-n]), " ".join(w[n // 2 : len(w) - (n - n // 2)])]
+        texts.append(" ".join(w[: len(w) // 2] + w[len(w) // 2 + 1 :]))
+    rows = [(n, t) for n, t in enumerate(texts)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_whole(rows, items)
+    assert len(want) - len(brute(rows, items)) > 100
+    assert sorted(map(tuple, dc.contaminated(documents(spark, rows), benchmark).collect()), key=repr) == want
+    bad = {d for d, *_ in want}
+    assert sorted(r["doc_id"] for r in dc.decontaminate(documents(spark, rows), benchmark).collect()) == [d for d, _ in rows if d not in bad]

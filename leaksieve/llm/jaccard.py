@@ -22,6 +22,9 @@
    two blocks meet in a task unless all their members are in one component by then,
    so no link between different components is missed.
 6. Links joined over all groups give the component of each class.
+
+``shingle_links`` is the join itself: nothing is passed over for being joined, all blocks
+of a group meet, and every link between classes is returned.
 """
 
 from __future__ import annotations
@@ -259,8 +262,41 @@ def tree_links(
     return found
 
 
-def block_links(values: np.ndarray, first: np.ndarray, percent: int, labels: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """``tree_links`` over the packed sets of a block, every link exact."""
+def all_links(
+    tree: SignatureTree, percent: int, sides: np.ndarray | None = None, linked: Callable[[int, int], bool] | None = None
+) -> np.ndarray:
+    """Every link between members of a tree, two columns; ``sides`` and ``linked`` as in ``tree_links``."""
+    sizes, found = tree.sizes, [np.zeros((0, 2), np.int64)]
+    stack = [(tree.top, tree.top)] if len(sizes) else []
+    while stack:
+        a, b = stack.pop()
+        if not tree.may_link(a, b, percent):
+            continue
+        rows_a, rows_b = tree.nodes[a][0], tree.nodes[b][0]
+        inner_a, inner_b = tree.nodes[a][5], tree.nodes[b][5]
+        if a == b and inner_a:
+            stack += [inner_a, (inner_a[1], inner_a[1]), (inner_a[0], inner_a[0])]
+        elif inner_a and len(rows_a) >= len(rows_b):
+            stack += [(inner_a[1], b), (inner_a[0], b)]
+        elif inner_b:
+            stack += [(a, inner_b[1]), (a, inner_b[0])]
+        else:
+            overlap = np.minimum(tree.overlaps(rows_a, rows_b), np.minimum(sizes[rows_a][:, None], sizes[rows_b][None, :]))
+            near = 100 * overlap >= percent * (sizes[rows_a][:, None] + sizes[rows_b][None, :] - overlap)
+            if sides is not None:
+                near &= sides[rows_a][:, None] != sides[rows_b][None, :]
+            p, q = np.nonzero(np.triu(near, 1) if a == b else near)
+            pairs = np.stack([rows_a[p], rows_b[q]], axis=1)
+            if linked is not None:
+                pairs = pairs[np.array([linked(i, j) for i, j in pairs.tolist()], bool)]
+            found.append(pairs)
+    return np.concatenate(found)
+
+
+def block_links(
+    values: np.ndarray, first: np.ndarray, percent: int, labels: np.ndarray, sides: np.ndarray | None = None, every: bool = False
+) -> list[tuple[int, int]] | np.ndarray:
+    """``tree_links``, or ``all_links`` if ``every``, over the packed sets of a block, every link exact."""
     tree = SignatureTree.of_sets(values, first)
 
     def compared(i: int, j: int) -> bool:
@@ -268,6 +304,8 @@ def block_links(values: np.ndarray, first: np.ndarray, percent: int, labels: np.
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= percent * (len(x) + len(y) - both)
 
+    if every:
+        return all_links(tree, percent, sides, None if tree.exact else compared)
     return tree_links(tree, percent, labels, sides, None if tree.exact else compared)
 
 
@@ -329,7 +367,7 @@ def _tie_rows(percent: int):
     return run
 
 
-def _link_rows(k: int, percent: int):
+def _link_rows(k: int, percent: int, every: bool):
     """Rows sorted by (unit, block) come in; a block is kept until its last row is read."""
 
     def links(rows: pa.Table) -> pa.RecordBatch:
@@ -346,8 +384,11 @@ def _link_rows(k: int, percent: int):
             ids, labels = ids[own], labels[own]
         sides = rows.column("side").to_numpy(zero_copy_only=False)[own]
         # A block by itself has all its rows on one side.
-        found = block_links(values, first, percent, labels, sides if sides.any() else None)
+        found = block_links(values, first, percent, labels, sides if sides.any() else None, every)
         ends = np.array(found, np.int64).reshape(-1, 2)
+        if every:
+            pairs = np.sort(ids[ends], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
         # As stars: later joins then take few rounds.
         root: dict[int, int] = {}
         for i, j in ids[ends].tolist():
@@ -390,31 +431,15 @@ def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     return docs.select("id", F.coalesce("text", F.lit("")).alias("text")).join(small(members), "id")
 
 
-def _block_pass(rows: DataFrame, k: int, percent: int) -> DataFrame:
+def _block_pass(rows: DataFrame, k: int, percent: int, every: bool = False) -> DataFrame:
     width = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = rows.select("unit", "block", "class", "label", "side", F.col("text").cast("binary").alias("text"))
     dealt = rows.repartition(int(width), "unit", "block").sortWithinPartitions("unit", "block")
-    return dealt.mapInArrow(_link_rows(k, percent), "a long, b long")
-
+    return dealt.mapInArrow(_link_rows(k, percent, every), "a long, b long")
 
-def shingle_components(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    k: int = 5,
-    percent: int = 80,
-    block_rows: int = BLOCK_ROWS,
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """One row per input row: ``id_column``, ``n_shingles`` and ``component_id``.
 
-    Two rows link when 100 * shared >= percent * united over their distinct
-    k-word shingles (a shorter text's whole sequence is one); ``component_id`` is
-    the smallest id reachable. Null, empty and blank texts have size 0 and link
-    with nothing. A row with a null id takes no part in links; its component is
-    null. Equal rows each return. Other columns of ``docs`` are not looked at.
-    """
-    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+def _linked(docs: DataFrame, k: int, percent: int, block_rows: int, block_bytes: int, all_pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, n, class, counts), classes (class, id) and links (a, b): all if ``all_pairs``, else such as give the components."""
     sized = stored(docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(_set_rows(k, percent), "id long, n long, class long, counts binary"))
     classes = sized.filter("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("id"))
 
@@ -437,10 +462,31 @@ def shingle_components(
     dealt = members.join(split, "unit", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), "blocks").cast("int"))
     first = dealt.select("id", "class", "unit", "block", F.col("class").alias("label"), F.lit(False).alias("side"))
-    links = stored(_block_pass(_texts(docs, stored(first)), k, percent))
+    links = stored(_block_pass(_texts(docs, stored(first)), k, percent, all_pairs))
     if split.limit(1).count():
-        links = stored(links.unionAll(_visits(docs, dealt.filter("blocks > 1"), links, k, percent)))
+        links = stored(links.unionAll(_visits(docs, dealt.filter("blocks > 1"), links, k, percent, all_pairs)))
+    return sized, classes, links
+
 
+def shingle_components(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    k: int = 5,
+    percent: int = 80,
+    block_rows: int = BLOCK_ROWS,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """One row per input row: ``id_column``, ``n_shingles`` and ``component_id``.
+
+    Two rows link when 100 * shared >= percent * united over their distinct
+    k-word shingles (a shorter text's whole sequence is one); ``component_id`` is
+    the smallest id reachable. Null, empty and blank texts have size 0 and link
+    with nothing. A row with a null id takes no part in links; its component is
+    null. Equal rows each return. Other columns of ``docs`` are not looked at.
+    """
+    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    sized, classes, links = _linked(docs, k, percent, block_rows, block_bytes, False)
     roots = components(links).withColumnsRenamed({"node": "class"})
     owners = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = owners.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -450,8 +496,31 @@ def shingle_components(
     return some.unionAll(none).select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _visits(docs: DataFrame, dealt: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between the blocks of a group: pairs of blocks that hold anyone outside the group's largest component."""
+def shingle_links(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    k: int = 5,
+    percent: int = 80,
+    block_rows: int = BLOCK_ROWS,
+    block_bytes: int = BLOCK_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets: (class_a, class_b), each pair once, class_a the smaller; and per input row ``id_column``, ``n_shingles`` and ``class``.
+
+    Rows link as in ``shingle_components``; those of one class have equal sets and link with
+    each other. The class is null for rows without id or words. The work and the result grow
+    with the number of links, which is the square of a group of near copies.
+    """
+    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    sized, _, links = _linked(docs, k, percent, block_rows, block_bytes, True)
+    # Equal rows give a link more than once, and one of a class with itself.
+    links = links.filter("a <> b").distinct().select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
+    own = F.when(F.col("id").isNotNull(), F.col("class")).alias("class")
+    return links, sized.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), own)
+
+
+def _visits(docs: DataFrame, dealt: DataFrame, links: DataFrame, k: int, percent: int, all_pairs: bool) -> DataFrame:
+    """Links between the blocks of a group: pairs of blocks that hold anyone outside the group's largest component, or ``all_pairs``."""
     roots = components(links).withColumnsRenamed({"node": "class", "root": "label"})
     dealt = stored(dealt.join(roots, "class", "left").withColumn("label", F.coalesce("label", "class")))
     counts = dealt.groupBy("unit", "label").agg(F.count("*").alias("n"))
@@ -461,10 +530,10 @@ def _visits(docs: DataFrame, dealt: DataFrame, links: DataFrame, k: int, percent
     every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")
     every = every.join(state, ["unit", "block"]).join(state.select("unit", F.col("block").alias("other"), F.col("open").alias("open_too")), ["unit", "other"])
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    met = every.filter("open or open_too").select(
+    met = (every if all_pairs else every.filter("open or open_too")).select(
         "id", "class", "unit", (low * F.col("blocks") + high).cast("int").alias("pair"), "label", (F.col("block") == high).alias("side")
     )
-    return _block_pass(_texts(docs, stored(met.withColumnRenamed("pair", "block"))), k, percent)
+    return _block_pass(_texts(docs, stored(met.withColumnRenamed("pair", "block"))), k, percent, all_pairs)
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -133,3 +133,31 @@ def test_classes_count_links_by_group(spark):
     for doc, _, root in jaccard.shingle_components(documents(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "z")])).collect():
         groups[root].append(doc)
     assert dict(groups) == {1: [1, 2], 3: [3]}
+
+
+@pytest.mark.parametrize("block_rows", [2000, 7])
+def test_all_links_match_brute_force(spark, block_rows):
+    rng = random.Random(block_rows)
+    texts = [None, "", "one", "ONE", "a b c d", prose(rng, 2000)]
+    for size in (12, 40, 150):
+        base = prose(rng, size)
+        texts += [*near_copies(rng, base, 25, 3), base, base.upper(), f"{base} {prose(rng, 5)}"]
+    rows = [(n // 2 if n < 4 else n, t) for n, t in enumerate(texts)] + [(None, texts[8]), (9, texts[9]), (9, texts[60])]
+    sets = {(i, s) for i, t in rows if i is not None and (s := shingles(t, 5))}
+    want = {frozenset((x, y)) for _, x in sets for _, y in sets if x != y and 100 * len(x & y) >= 80 * len(x | y)}
+    links, members = jaccard.shingle_links(documents(spark, rows), block_rows=block_rows)
+    pairs, members = [tuple(r) for r in links.collect()], members.collect()
+    assert len(members) == len(rows)
+    assert {r["class"] for r in members if r["doc_id"] is None or not r["n_shingles"]} == {None}
+    # Each class is one set: by their ids and sizes they stand for the same.
+    known = defaultdict(set)
+    for r in members:
+        known[r["class"]].add((r["doc_id"], r["n_shingles"]))
+    named = defaultdict(set)
+    for i, s in sets:
+        named[s].add((i, len(s)))
+    got = sorted(sorted(map(repr, (sorted(known[a]), sorted(known[b])))) for a, b in pairs)
+    # A spanning forest has fewer links than classes.
+    assert len(want) > len(named)
+    assert all(a < b for a, b in pairs)
+    assert got == sorted(sorted(repr(sorted(named[s])) for s in pair) for pair in want)

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import digests, format_conversations
-from .common import read
+from .common import read, stored
 from .decontaminate import contaminated
 from .html_blocks import extract_main_text
 from .jaccard import shingle_components
 from .mixing import mix_sources
+from .oracle import oracle_sql
 from .quality import score_quality
+from .repair import plain_rows, repair_plans, repaired_digests
 from .repeats import remove_repeats
+from .scans import spread_join
 from .sharding import shard_plan
+from .tokens import count_tokens
 from .topk import top_inner_products
+from .trie import ends_digests, trie_of_marks, turn_marks
 from .urls import judge_urls
 
 URL_RULES = (
@@ -74,36 +80,62 @@ def op10_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
+def op11_whole_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of all documents under the vocabulary with word ends."""
+    return count_tokens(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows damaged by a hash of conversation and turn; ``gone`` marks the dropped ones."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    plain = plain_rows(rows.select("conv_id", "turn", "role", "text"))
+    kind = F.crc32(key.cast("binary")) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    made = plain.withColumn("kind", kind).select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("kind") == 0).alias("gone"), "kind")
+    return made.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))).drop("kind", "__copy")
+
+
+def op12_grammar_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, damaged by rule, with their faults, the cheapest repair and a digest of what it leaves."""
+    rows = damaged(read(spark, folder, "conversations"))
+    plans = stored(repair_plans(rows, "gone"))
+    digests = repaired_digests(rows, plans, "gone").withColumnRenamed("sha256", "repaired_sha256")
+    return plans.join(digests, plans.conv_id.eqNullSafe(digests.conv_id)).drop(digests.conv_id)
 
 
-# 52 bits of an md5, in the middle of their step: between 0 and 1.
-_UNIT = "(('0x' || md5({})[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0"
+#: Conversations rebuilt on the same beginning, and turns of it that they take at most.
+SHARED, MOST_TURNS = 100, 5
 
-_MIX = f"""
-WITH stats AS (SELECT source, sum(coalesce(strlen(text), 0))::DOUBLE AS bytes FROM documents GROUP BY source),
-rates AS (SELECT source, CASE WHEN bytes > 0 THEN
-    sqrt(bytes) / (SELECT sum(sqrt(bytes)) FROM stats) * (SELECT sum(bytes) FROM stats) / bytes ELSE 1.0 END AS rate FROM stats),
-pieces AS (SELECT source, greatest(1, ceil(rate / 16))::INT AS n, rate / greatest(1, ceil(rate / 16)) AS m FROM rates),
-sums AS (SELECT source, n, sum(exp(-m + k * ln(m) - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS c
-    FROM pieces, generate_series(0, 80) AS t(k)),
-tables AS (SELECT source, n, list(c) AS c FROM sums GROUP BY source, n),
-draws AS (SELECT d.*, list_sum([len(list_filter(t.c, lambda x: x < {_UNIT.format("coalesce(d.doc_id::VARCHAR, '') || ':' || i || ':2'")}))
-    for i in range(1, t.n + 1)])::INT AS copies FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, text, lang, source, n_chars, unnest(range(copies))::INT AS copy FROM draws WHERE copies > 0
-"""
 
+def rebuilt(marks: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Turn marks of conversations that begin with the first turns of the first conversation of their hundred."""
 
-_TOPK = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scores AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
-    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scores)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
-"""
+    def taken(conv_id):
+        return (F.crc32(conv_id.cast("string").cast("binary")) % (MOST_TURNS + 1)).cast("long")
 
+    conv = F.col("conv_id")
+    wanted = conversations.select("conv_id", (conv - conv % SHARED).alias("first"), taken(conv).alias("h"))
+    begin = stored(marks.filter(F.col("place") <= MOST_TURNS).withColumnRenamed("conv_id", "first"))
+    copied = begin.join(wanted, "first").filter("place <= h").select("conv_id", "place", "mark", "chars")
+    there = wanted.join(begin.groupBy("first").agg(F.max("place").alias("there")), "first", "left")
+    short = there.select("conv_id", (F.col("h") - F.least("h", F.coalesce("there", F.lit(0)))).alias("lacking")).filter("lacking > 0")
+    own = spread_join(marks.filter(F.col("place") > taken(conv)), stored(short), ["conv_id"], "left")
+    own = own.select("conv_id", (F.col("place") - F.coalesce("lacking", F.lit(0))).alias("place"), "mark", "chars")
+    return copied.unionByName(own)
 
-def oracle_sql() -> dict[str, str]:
-    return {"op2_poisson_mix": _MIX, "op4_ball_tree_topk": _TOPK}
+
+def op13_euler_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt on shared beginnings, with its subtree sums."""
+    rows = read(spark, folder, "conversations")
+    ids = stored(rows.filter("conv_id is not null").select(F.col("conv_id").cast("long")).distinct())
+    trie = trie_of_marks(rebuilt(stored(turn_marks(rows)), ids), ids)
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    ended = trie.nodes.join(ends_digests(trie), ["depth", "x1", "x2"], "left")
+    return ended.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("sha256", none).alias("ends_sha256")
+    )
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}

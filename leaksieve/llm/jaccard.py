@@ -46,7 +46,7 @@ LEAF = 16
 MOST_BITS = 1 << 14
 #: Buckets of the small signatures.
 BUCKETS = 512
-#: Classes of a key up to which all pairs are looked at; beyond, a tree; beyond the second all are tied as they are.
+#: Classes of a key up to which all pairs are looked at; beyond, a tree; beyond the second all are tied, and no task holds them.
 FEW, MOST = 16, 20_000
 #: Members and bytes of text of a group that one task takes at once.
 BLOCK_ROWS = 2000
@@ -337,10 +337,7 @@ def _tie_rows(percent: int):
             pairs.append(np.stack([ids[i], ids[i + apart]])[:, near_pairs(counts, sizes, i, i + apart, percent)])
         for a, n in zip(begin[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
             own = ids[a : a + n]
-            if n > MOST:
-                found = [(0, j) for j in range(1, n)]
-            else:
-                found = tree_links(SignatureTree.of_counts(counts[a : a + n], sizes[a : a + n]), percent, np.arange(n))
+            found = tree_links(SignatureTree.of_counts(counts[a : a + n], sizes[a : a + n]), percent, np.arange(n))
             pairs.append(own[np.array(found, np.int64).reshape(-1, 2)].T)
         both = np.unique(np.sort(np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
@@ -447,11 +444,18 @@ def _linked(docs: DataFrame, k: int, percent: int, block_rows: int, block_bytes:
     # Keys of one class are most and go; of copies one stays.
     every, before = Window.partitionBy("key"), F.lag("class").over(Window.partitionBy("key").orderBy("class"))
     keys = keys.select("key", "class", before.alias("before"), F.min("class").over(every).alias("low"), F.max("class").over(every).alias("high"))
-    keys = keys.filter("low <> high and (before is null or before <> class)").select("key", "class")
+    keys = keys.filter("low <> high and (before is null or before <> class)").select("key", "class", "low")
+    # Near copies share most of their parts: keys with the same classes become one, named by their number and two sums over them.
+    mark = F.xxhash64("class", F.lit(3))
+    marks = [F.count("*").over(every), F.bit_xor(mark).over(every), F.sum(F.shiftrightunsigned(mark, 32)).over(every)]
+    keys = keys.select("class", "low", *[m.alias(f"m{n}") for n, m in enumerate(marks)])
+    keys = stored(keys.select(F.xxhash64("m0", "m1", "m2").alias("key"), "class", "low", F.col("m0").alias("size")).distinct())
     signs = sized.filter("class is not null and id is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
-    signed = keys.join(signs, "class").select("key", "class", "n", "counts")
+    signed = keys.filter(F.col("size") <= MOST).join(signs, "class").select("key", "class", "n", "counts")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ties = signed.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_tie_rows(percent), "a long, b long")
+    # Classes of a larger key are all tied to the least of them, by whom they are compared later all the same.
+    ties = ties.unionAll(keys.filter((F.col("size") > MOST) & (F.col("class") != F.col("low"))).select("class", "low"))
     groups = components(ties).withColumnsRenamed({"node": "class", "root": "unit"})
     members = classes.join(groups, "class").join(sized.groupBy("class").agg(F.first("n").alias("n")), "class")
     members = stored(members)

@@ -161,3 +161,12 @@ def test_all_links_match_brute_force(spark, block_rows):
     assert len(want) > len(named)
     assert all(a < b for a, b in pairs)
     assert got == sorted(sorted(repr(sorted(named[s])) for s in pair) for pair in want)
+
+
+def test_large_keys_are_tied_without_a_task_that_holds_them(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [t for size in (20, 60) for t in near_copies(rng, prose(rng, size), 30, 2)] + [prose(rng, 30)] * 3
+    rows = documents(spark, list(enumerate(texts)))
+    want = sorted(map(tuple, jaccard.shingle_components(rows).collect()))
+    monkeypatch.setattr(jaccard, "MOST", 5)
+    assert sorted(map(tuple, jaccard.shingle_components(rows).collect())) == want

@@ -30,6 +30,7 @@ from leaksieve.operators.filters import (
     regex_filter,
 )
 from leaksieve.operators.languages import with_language
+from leaksieve.operators.rules import rule_table_hits
 from leaksieve.operators.scan import has_hit, rule_hits, scan, scan_by_file, scan_literals, scan_paths
 from leaksieve.operators.tokens import lines, token_counts, tokens
 from leaksieve.session import scratch_dir
@@ -317,6 +318,19 @@ def regex_rules_join(spark, folder):
     return rule_hits(documents(spark, folder), RULES).unionByName(rule_hits(pages(spark, folder), RULES))
 
 
+def rule_table(spark, folder):
+    """A rule for the first long word of each document, and the fixed rules."""
+    word = F.regexp_extract("text", "[A-Za-z]{7,12}", 0)
+    worded = read_table(spark, folder, "documents").select(F.concat(F.lit("w"), "doc_id").alias("header"), word.alias("word"))
+    worded = worded.filter("word <> ''").select("header", F.concat(F.lit(r"(?i)\b"), "word", F.lit("[a-z]?")).alias("pattern"))
+    return worded.unionByName(spark.createDataFrame(list(RULES.items()), "header string, pattern string"))
+
+
+@query("rules_table_scan")
+def rules_table_scan(spark, folder):
+    return rule_table_hits(documents(spark, folder), rule_table(spark, folder))
+
+
 # Filter algebra
 
 

@@ -312,6 +312,19 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT path, CAST(line_no AS INTEGER) AS line_no, CAST(col AS INTEGER) AS col, header, value FROM ({rules})",
             f"all_tokens AS (SELECT * FROM {_tokens('docs')} UNION ALL SELECT * FROM {_tokens('webs')})",
         ),
+        "rules_table_scan": _with(
+            """SELECT path, CAST(line_no AS INTEGER) AS line_no, CAST(col AS INTEGER) AS col, header,
+              regexp_extract(token, pattern) AS value
+            FROM doc_tokens JOIN hits USING (token)""",
+            f"doc_tokens AS (SELECT * FROM {_tokens('docs')})",
+            f"""table_rules AS (
+              SELECT 'w'||CAST(doc_id AS VARCHAR) AS header, lower(word) AS word, '(?i)\\b'||word||'[a-z]?' AS pattern
+              FROM (SELECT doc_id, regexp_extract(text, '[A-Za-z]{{7,12}}') AS word FROM documents) WHERE word <> ''
+              UNION ALL SELECT * FROM (VALUES {', '.join(f"({_quote(h)}, '', {_quote(r)})" for h, r in c.RULES.items())}))""",
+            """hits AS (
+              SELECT token, header, pattern FROM (SELECT DISTINCT token FROM doc_tokens) t JOIN table_rules r
+                ON CASE WHEN contains(lower(t.token), r.word) THEN regexp_matches(t.token, r.pattern) ELSE false END)""",
+        ),
         "any_filters": _with(
             _found(
                 "docs", f"({_PROSE} OR {_rule('email')})", _IF_C, _if_e(c.PROSE_LIMIT), _if_rule("email")

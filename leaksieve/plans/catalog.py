@@ -33,6 +33,7 @@ from leaksieve.operators.languages import with_language
 from leaksieve.operators.rules import rule_table_hits
 from leaksieve.operators.scan import has_hit, rule_hits, scan, scan_by_file, scan_literals, scan_paths
 from leaksieve.operators.tokens import lines, token_counts, tokens
+from leaksieve.operators.units import scan_units
 from leaksieve.session import scratch_dir
 from leaksieve.sources import ignorefile
 from leaksieve.sources.tables import (
@@ -266,6 +267,13 @@ def literal_scan(spark, folder):
     return flat(scan_literals(pages(spark, folder), entropy_filter(PROSE_LIMIT)), "entropy")
 
 
+@query("unit_scan")
+def unit_scan(spark, folder):
+    """Comments, strings and words of sources and pages as units."""
+    files = documents(spark, folder).unionByName(pages(spark, folder))
+    return flat(scan_units(files, prose_filter()), "complexity", "entropy")
+
+
 @query("language_tag")
 def language_tag(spark, folder):
     files = documents(spark, folder).select("path").unionByName(pages(spark, folder).select("path"))

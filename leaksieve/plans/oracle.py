@@ -187,6 +187,36 @@ def _clean(negate: str, condition: str) -> str:
       (SELECT path FROM {_scored('docs')} WHERE {condition})"""
 
 
+# The pieces of four grammar families in the dialect of plain SQL: no look-ahead, shortest matches instead.
+_UNIT_WORD = r"[0-9A-Za-z_\x{80}-\x{10FFFF}]+|[ \t\r\n\f\x0B]+|."
+_UNIT_STRINGS = r"""\"(?:[^\"\n\\]|\\.)*\"|'(?:[^'\n\\]|\\.)*'"""
+_UNIT_C = r"//[^\n]*|/\*.*?(?:\*/|\z)"
+_UNIT_PIECES = {
+    "python": r"#[^\n]*|" + "|".join("[A-Za-z]{0,2}" + s for s in (r'"""(?:[^\\]|\\.)*?"""', r"'''(?:[^\\]|\\.)*?'''", *_UNIT_STRINGS.split("|'", 1))).replace("[A-Za-z]{0,2}(?:[^'", "[A-Za-z]{0,2}'(?:[^'"),
+    "go": f"{_UNIT_C}|{_UNIT_STRINGS}|`[^`]*`",
+    "javascript": _UNIT_C + "|" + _UNIT_STRINGS + r"|`(?:[^`\\]|\\.)*`",
+    "html": r"""<!--.*?(?:-->|\z)|=[ \t\r\n]*"[^"]*"|=[ \t\r\n]*'[^']*'|>[^<]+""",
+}
+
+
+def _units() -> str:
+    """Rows (path, language, line_no, byte_col, kind, token) of all units."""
+    cut = " ".join(f"WHEN '{n}' THEN regexp_extract_all(text, {_quote('(?s)' + p + '|' + _UNIT_WORD)})" for n, p in _UNIT_PIECES.items())
+    open_ = """CASE WHEN kind <> 'string' THEN '' WHEN language = 'html' THEN regexp_extract(piece, '^(?:=[ \\t\\r\\n]*["'']|>)')
+        ELSE regexp_extract(piece, '^[A-Za-z]{0,2}(?:\"\"\"|\'\'\'\'\'\'|["''`])') END"""
+    return f"""(SELECT path, language, CAST(length(ahead) - length(replace(ahead, chr(10), '')) + 1 AS INTEGER) AS line_no,
+        CAST(strlen(string_split(ahead, chr(10))[-1]) + strlen(opening) + 1 AS INTEGER) AS byte_col, kind,
+        substr(piece, 1 + length(opening), length(piece) - length(opening) - CASE WHEN opening IN ('', '>') THEN 0 WHEN right(opening, 3) IN ('\"\"\"', '''''''') THEN 3 ELSE 1 END) AS token
+      FROM (SELECT *, {open_} AS opening, array_to_string(cut[1:n - 1], '') AS ahead FROM (
+        SELECT *, CASE WHEN regexp_full_match(piece, '[0-9A-Za-z_\\x{{80}}-\\x{{10FFFF}}]+') THEN 'word'
+            WHEN length(piece) < 2 OR regexp_full_match(piece, '[ \\t\\r\\n\\f\\x0B]+') THEN NULL
+            WHEN language = 'python' AND piece[1] = '#' OR language IN ('go', 'javascript') AND piece[1] = '/' OR language = 'html' AND piece[1] = '<' THEN 'comment'
+            ELSE 'string' END AS kind
+        FROM (SELECT path, language, cut, unnest(cut) AS piece, generate_subscripts(cut, 1) AS n
+              FROM (SELECT *, CASE language {cut} END AS cut FROM typed))))
+      WHERE kind IS NOT NULL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     loose, prose, page = _above(c.LOOSE_LIMIT), _above(c.PROSE_LIMIT), _above(c.PAGE_LIMIT)
     exempt_more = (*DEFAULT_EXEMPT, *c.EXTRA_EXEMPT)
@@ -287,6 +317,15 @@ def oracle_sql() -> dict[str, str]:
                               FROM {_lines('webs')}))))
               WHERE {prose}"""
         ),
+        "unit_scan": _with(
+            f"""SELECT path, language, line_no, byte_col, kind, token, {_IF_C}, {_if_e(c.PROSE_LIMIT)}
+              FROM (SELECT *, {_CLASSES} AS classes, {_entropy('token')} AS e FROM units) WHERE {_PROSE}""",
+            f"""typed AS (
+              SELECT path, language, text FROM (SELECT path, text FROM docs UNION ALL SELECT path, text FROM webs)
+              JOIN (VALUES {extensions}) AS known(ext, language) ON regexp_extract(path, '\\.[^./]*$') = ext
+              WHERE language IN ({', '.join(map(_quote, _UNIT_PIECES))}))""",
+            f"units AS (SELECT * FROM {_units()})",
+        ),
         "language_tag": _with(
             f"""SELECT path, language FROM (SELECT path FROM docs UNION ALL SELECT path FROM webs)
               LEFT JOIN (VALUES {extensions}) AS known(ext, language)

@@ -18,9 +18,10 @@
    together while the overlap that they could have at most would link some
    pair; pairs that links already join are passed over, so a group of near
    copies costs about a comparison per member.
-5. A group beyond ``block_rows`` is dealt over blocks, each taken by itself. Then
-   two blocks meet in a task unless all their members are in one component by then,
-   so no link between different components is missed.
+5. A group beyond ``block_rows`` is dealt over blocks of sets of one size grade, each
+   taken by itself. Then two blocks of the same or of neighbouring grades meet in a task
+   unless all their members are in one component by then, so no link between different
+   components is missed.
 6. Links joined over all groups give the component of each class.
 
 ``shingle_links`` is the join itself: nothing is passed over for being joined, all blocks
@@ -30,6 +31,7 @@ of a group meet, and every link between classes is returned.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,6 +53,8 @@ FEW, MOST = 16, 20_000
 #: Members and bytes of text of a group that one task takes at once.
 BLOCK_ROWS = 2000
 BLOCK_BYTES = 4 << 20
+#: Blocks that a grade of a group may have.
+BLOCKS = 1 << 24
 
 
 def grades(percent: int, size: int) -> list[int]:
@@ -459,16 +463,19 @@ def _linked(docs: DataFrame, k: int, percent: int, block_rows: int, block_bytes:
     groups = components(ties).withColumnsRenamed({"node": "class", "root": "unit"})
     members = classes.join(groups, "class").join(sized.groupBy("class").agg(F.first("n").alias("n")), "class")
     members = stored(members)
+    members = members.withColumn("grade", F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("long") if percent < 100 else F.col("n"))
     # A shingle takes about eight bytes of text.
-    extent = members.groupBy("unit").agg(F.count("*").alias("rows"), (F.sum("n") * 8).alias("bytes"))
-    blocks = F.ceil(F.greatest(F.col("rows") / block_rows, F.col("bytes") / block_bytes)).cast("int")
-    split = stored(extent.select("unit", blocks.alias("blocks")).filter("blocks > 1"))
-    dealt = members.join(split, "unit", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), "blocks").cast("int"))
+    extent = [F.count("*").alias("rows"), (F.sum("n") * 8).alias("bytes")]
+    blocks = F.ceil(F.greatest(F.col("rows") / block_rows, F.col("bytes") / block_bytes)).cast("long")
+    large = small(stored(members.groupBy("unit").agg(*extent).filter(blocks > 1).select("unit")))
+    split = stored(members.join(large, "unit", "left_semi").groupBy("unit", "grade").agg(*extent).select("unit", "grade", blocks.alias("blocks")))
+    dealt = members.join(small(split), ["unit", "grade"], "left")
+    # The blocks of a large group hold sets of one grade: linked sets lie in the same or in neighbouring grades.
+    dealt = dealt.withColumn("block", F.coalesce(F.col("grade") * BLOCKS + F.pmod(F.xxhash64("class", F.lit(1)), "blocks"), F.lit(0)))
     first = dealt.select("id", "class", "unit", "block", F.col("class").alias("label"), F.lit(False).alias("side"))
     links = stored(_block_pass(_texts(docs, stored(first)), k, percent, all_pairs))
     if split.limit(1).count():
-        links = stored(links.unionAll(_visits(docs, dealt.filter("blocks > 1"), links, k, percent, all_pairs)))
+        links = stored(links.unionAll(_visits(docs, dealt.filter("blocks is not null"), links, k, percent, all_pairs)))
     return sized, classes, links
 
 
@@ -529,13 +536,15 @@ def _visits(docs: DataFrame, dealt: DataFrame, links: DataFrame, k: int, percent
     dealt = stored(dealt.join(roots, "class", "left").withColumn("label", F.coalesce("label", "class")))
     counts = dealt.groupBy("unit", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("unit").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    state = dealt.join(main, "unit").groupBy("unit", "block").agg(F.max(F.col("label") != F.col("main")).alias("open"))
+    state = dealt.join(main, "unit").groupBy("unit", "grade", "block").agg(F.max(F.col("label") != F.col("main")).alias("open"))
     state = stored(state)
-    every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")
-    every = every.join(state, ["unit", "block"]).join(state.select("unit", F.col("block").alias("other"), F.col("open").alias("open_too")), ["unit", "other"])
+    other = small(state.select("unit", F.col("grade").alias("near"), F.col("block").alias("other"), F.col("open").alias("open_too")))
+    every = dealt.join(small(state.select("unit", "block", "open")), ["unit", "block"])
+    every = every.withColumn("near", F.explode(F.array(*[F.col("grade") + step for step in (-1, 0, 1)])))
+    every = every.join(other, ["unit", "near"]).filter("other <> block")
     low, high = F.least("block", "other"), F.greatest("block", "other")
     met = (every if all_pairs else every.filter("open or open_too")).select(
-        "id", "class", "unit", (low * F.col("blocks") + high).cast("int").alias("pair"), "label", (F.col("block") == high).alias("side")
+        "id", "class", "unit", F.xxhash64(low, high).alias("pair"), "label", (F.col("block") == high).alias("side")
     )
     return _block_pass(_texts(docs, stored(met.withColumnRenamed("pair", "block"))), k, percent, all_pairs)
 

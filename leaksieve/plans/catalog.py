@@ -43,7 +43,7 @@ from leaksieve.sources.tables import (
     page_files,
     read_table,
 )
-from leaksieve.streaming import start_gate, start_scan, stream_table
+from leaksieve.streaming import batch_files, start_batch_gate, start_gate, start_scan, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -500,3 +500,16 @@ def stream_gate(spark, folder):
     started.awaitTermination()
     routed = T.StructType([*FILES.fields, T.StructField("verdict", T.StringType())])
     return spark.read.schema(routed).parquet(f"{run}/routed").select("path", "size", "verdict")
+
+
+@query("stream_batch_gate")
+def stream_batch_gate(spark, folder):
+    """Batches of two streams: documents, of which some have hits, and conversations, of which none has."""
+    table = f"{folder}/conversations.parquet"
+    chats = conversation_files(stream_table(spark, table, spark.read.parquet(table).schema))
+    parts = []
+    for files, wanted in ((document_stream(spark, folder), prose_filter()), (chats, entropy_filter(PAGE_LIMIT))):
+        run = scratch_dir(spark, "stream-batch-gate")
+        start_batch_gate(files, wanted, f"{run}/gated", f"{run}/checkpoint").awaitTermination()
+        parts.append(batch_files(spark, f"{run}/gated", files.schema).select("path", "size", "flagged", "verdict"))
+    return parts[0].unionByName(parts[1])

@@ -428,4 +428,10 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT path, size, CASE WHEN path IN (SELECT path FROM {_scored('docs')} WHERE {_PROSE})
                                    THEN 'quarantined' ELSE 'clean' END AS verdict FROM docs"""
         ),
+        "stream_batch_gate": _with(
+            """SELECT path, size, flagged, CASE WHEN max(flagged) OVER (PARTITION BY batch) THEN 'refused' ELSE 'admitted' END AS verdict FROM judged""",
+            f"""judged AS (
+              SELECT 1 AS batch, path, size, path IN (SELECT path FROM {_scored('docs')} WHERE {_PROSE}) AS flagged FROM docs
+              UNION ALL SELECT 2, path, size, path IN (SELECT path FROM {_scored('chats')} WHERE {page}) FROM chats)""",
+        ),
     }

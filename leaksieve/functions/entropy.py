@@ -23,7 +23,8 @@ LONG_BYTES = 256
 _REPEATED = r"(?s)(.)\1+"
 
 
-def _from_runs(symbols: Column, units: Column) -> Column:
+def entropy_of_symbols(symbols: Column, units: Column) -> Column:
+    """Entropy of the characters of ``symbols``, each weighing one of ``units``."""
     n = units.cast("double")
     ordered = F.array_join(F.sort_array(F.split(symbols, "")), "")
     repeats = F.regexp_extract_all(ordered, F.lit(_REPEATED), F.lit(0))
@@ -36,17 +37,17 @@ def _from_runs(symbols: Column, units: Column) -> Column:
 
 
 def short_entropy(token: Column) -> Column:
-    return _from_runs(token, F.octet_length(token))
+    return entropy_of_symbols(token, F.octet_length(token))
 
 
 def standard_entropy(token: Column) -> Column:
     """The textbook value over code points."""
-    return _from_runs(token, F.char_length(token))
+    return entropy_of_symbols(token, F.char_length(token))
 
 
 def long_entropy(token: Column) -> Column:
     # Latin-1 maps every byte to one character, which turns bytes into symbols.
-    return _from_runs(F.decode(token.cast("binary"), "ISO-8859-1"), F.octet_length(token))
+    return entropy_of_symbols(F.decode(token.cast("binary"), "ISO-8859-1"), F.octet_length(token))
 
 
 def entropy(token: Column, mode: str = "compat") -> Column:

@@ -27,6 +27,7 @@ from leaksieve.functions.entropy import (
 )
 from leaksieve.functions.regexes import check_pattern, check_patterns, relaxed_regex
 from leaksieve.functions.text import fields_from
+from leaksieve.functions.views import byte_entropy, rune_text
 
 Evidence = dict[str, Column]
 
@@ -41,12 +42,14 @@ class TokenFilter:
     A null evidence value means the key is absent. No token with fewer than
     ``min_chars`` code points can match. ``text_test`` says whether some token
     of a whole text matches; without it the tokens are asked one by one.
+    ``on_view`` is the same filter for tokens that are byte views (see ``functions.views``).
     """
 
     match: Callable[[Column], Column]
     evidence: Callable[[Column], Evidence]
     min_chars: int = 0
     text_test: Callable[[Column], Column] | None = None
+    on_view: TokenFilter | None = None
 
     def in_text(self, text: Column) -> Column:
         return self.text_test(text) if self.text_test else self.in_tokens(text)
@@ -88,7 +91,12 @@ def entropy_filter(threshold: float, mode: str = "compat") -> TokenFilter:
     # From 256 bytes on bytes are counted, and such a token has 64 code points at least.
     # A repeat count in a pattern is bounded; the exact test stands behind it.
     min_chars = min(least, MOST_REPEATS if mode == "standard" else LONG_BYTES // 4)
-    return TokenFilter(match, lambda token: {"entropy": entropy_text(entropy(token, mode))}, min_chars)
+    on_view = TokenFilter(
+        lambda view: (F.char_length(view) >= min_chars) & (byte_entropy(view, mode) > limit),
+        lambda view: {"entropy": entropy_text(byte_entropy(view, mode))},
+        min_chars,
+    )
+    return TokenFilter(match, lambda token: {"entropy": entropy_text(entropy(token, mode))}, min_chars, on_view=on_view)
 
 
 def complexity_filter() -> TokenFilter:
@@ -97,6 +105,11 @@ def complexity_filter() -> TokenFilter:
         lambda token: (F.octet_length(token) >= MIN_BYTES) & (class_count(token) >= MIN_CLASSES),
         lambda token: {"complexity": class_count(token).cast("string")},
         math.ceil(MIN_BYTES / 4),
+        on_view=TokenFilter(
+            lambda view: (F.char_length(view) >= MIN_BYTES) & (class_count(view) >= MIN_CLASSES),
+            lambda view: {"complexity": class_count(view).cast("string")},
+            MIN_BYTES,
+        ),
     )
 
 
@@ -106,6 +119,7 @@ def regex_filter(header: str, pattern: str) -> TokenFilter:
     plain = TokenFilter(
         lambda token: token.rlike(java),
         lambda token: {header: F.regexp_extract(token, java, 0)},
+        on_view=TokenFilter(lambda view: rune_text(view).rlike(java), lambda view: {header: F.regexp_extract(rune_text(view), java, 0)}),
     )
     relaxed = relaxed_regex(pattern)
     if relaxed is None:
@@ -121,6 +135,12 @@ def _merge(earlier: Evidence, later: Mapping[str, Column]) -> Evidence:
     return merged
 
 
+def _on_views(combine, members: list[TokenFilter]) -> TokenFilter | None:
+    """The same combination of the members for byte views, if every member has one."""
+    views = [member.on_view for member in members]
+    return combine(*views) if members and all(views) else None
+
+
 def any_of(*members: TokenFilter | None) -> TokenFilter:
     """Matches if a member does; evidence of all matching members, the later one winning a key."""
     present = [member for member in members if member is not None]
@@ -147,6 +167,7 @@ def any_of(*members: TokenFilter | None) -> TokenFilter:
         evidence,
         min((member.min_chars for member in present), default=0),
         in_text,
+        _on_views(any_of, present),
     )
 
 
@@ -157,6 +178,7 @@ def all_of(*members: TokenFilter | None) -> TokenFilter:
         lambda token: reduce(and_, (member.match(token) for member in present), F.lit(True)),
         lambda token: reduce(_merge, (member.evidence(token) for member in present), {}),
         max((member.min_chars for member in present), default=0),
+        on_view=_on_views(all_of, present),
     )
     tested = [member for member in present if member.text_test]
     if len(present) < 2 or not tested:

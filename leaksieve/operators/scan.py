@@ -9,12 +9,13 @@ no line numbers; only flagged files are cut into lines and fields.
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.functions.text import fields, raw_lines
+from leaksieve.functions.views import byte_fields, rune_text
 from leaksieve.operators.filters import TokenFilter, any_of, payload, regex_filters
 from leaksieve.operators.tokens import literals, readable_lines, tokens
 
@@ -75,7 +76,11 @@ def listed_files(files: DataFrame, paths: DataFrame | Collection[str], max_file_
 
 
 def located_hits(
-    text: Column, token_filter: TokenFilter, line_limit: int | None = None, line_base: Column | None = None
+    text: Column,
+    token_filter: TokenFilter,
+    line_limit: int | None = None,
+    line_base: Column | None = None,
+    cut: Callable[[Column], Column] = fields,
 ) -> Column:
     """All hits of one text as an array in line and field order."""
 
@@ -88,7 +93,7 @@ def located_hits(
             )
             return F.when(token_filter.match(token), place)
 
-        return F.array_compact(F.transform(fields(line), located))
+        return F.array_compact(F.transform(cut(line), located))
 
     # Blank last lines and carriage returns hold no tokens, so a plain cut will do.
     pieces = raw_lines(text) if line_limit is None else readable_lines(text, line_limit)
@@ -103,6 +108,33 @@ def located_hits(
     )
 
 
+def _view_filter(token_filter: TokenFilter | None) -> TokenFilter:
+    found = any_of() if token_filter is None else token_filter.on_view
+    if found is None:
+        raise ValueError("the filter cannot be applied to bytes: give it on_view")
+    return found
+
+
+def _exact_flag(token_filter: TokenFilter | None) -> Column:
+    text, views = F.col("text"), _view_filter(token_filter)
+    in_view = F.coalesce(F.exists(byte_fields(text), views.match), F.lit(False))
+    return F.when(F.col("valid_utf8"), has_hit(text, token_filter)).otherwise(in_view)
+
+
+def _exact_hits(token_filter: TokenFilter | None, line_base: Column | None) -> Column:
+    """``located_hits`` of a text or, where ``valid_utf8`` is false, of a byte view, whose tokens are reported as text with replacement characters."""
+    text, views = F.col("text"), _view_filter(token_filter)
+    found = located_hits(text, views, None, line_base, byte_fields)
+    readable = F.transform(found, lambda hit: hit.withField("token", rune_text(hit.token)))
+    return F.when(F.col("valid_utf8"), located_hits(text, token_filter or any_of(), None, line_base)).otherwise(readable)
+
+
+def scan_exact(files: DataFrame, token_filter: TokenFilter | None, keep: tuple[str, ...] = ("path",)) -> DataFrame:
+    """As ``scan``, for files whose ``text`` is a byte view where ``valid_utf8`` is false: lengths, white space and entropies are those of the bytes."""
+    base = F.col("line_base") if "line_base" in files.columns else None
+    return files.filter(_exact_flag(token_filter)).select(*keep, F.inline(_exact_hits(token_filter, base)))
+
+
 def scan_by_file(files: DataFrame, token_filter: TokenFilter | None, line_limit: int | None = None) -> DataFrame:
     """Files with hits, each with its hits in order. A file is one row, so nothing is grouped."""
     one_row_per_file(files)
@@ -124,8 +156,14 @@ def group_blocks(found: DataFrame) -> DataFrame:
 
 
 def block_hits(files: DataFrame, token_filter: TokenFilter | None) -> DataFrame:
-    """``path``, ``line_base`` and ``hits`` of the blocks of files (see ``read_blocks``) that have any."""
+    """``path``, ``line_base`` and ``hits`` of the blocks of files (see ``read_blocks``) that have any.
+
+    Blocks that were read with ``exact`` may hold byte views, and are scanned as such.
+    """
     token_filter = token_filter or any_of()
+    if "exact" in files.columns:
+        flagged = files.filter(_exact_flag(token_filter))
+        return flagged.select("path", "line_base", _exact_hits(token_filter, F.col("line_base")).alias("hits"))
     flagged = files.filter(has_hit(F.col("text"), token_filter))
     return flagged.select("path", "line_base", located_hits(F.col("text"), token_filter, None, F.col("line_base")).alias("hits"))
 

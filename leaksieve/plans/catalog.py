@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from leaksieve.functions.entropy import LONG_BYTES, entropy, entropy_text, long_entropy, short_entropy, standard_entropy
 from leaksieve.functions.text import fields
+from leaksieve.functions.views import byte_view
 from leaksieve.model import FILES, FINDINGS, ScanConfig
 from leaksieve.operators import files as predicates
 from leaksieve.operators import findings as derived
@@ -31,12 +32,13 @@ from leaksieve.operators.filters import (
 )
 from leaksieve.operators.languages import with_language
 from leaksieve.operators.rules import rule_table_hits
-from leaksieve.operators.scan import has_hit, rule_hits, scan, scan_by_file, scan_literals, scan_paths
+from leaksieve.operators.scan import has_hit, rule_hits, scan, scan_by_file, scan_exact, scan_literals, scan_paths
 from leaksieve.operators.tokens import lines, token_counts, tokens
 from leaksieve.operators.units import scan_units
 from leaksieve.session import scratch_dir
 from leaksieve.sources import ignorefile
 from leaksieve.sources.tables import (
+    as_byte_files,
     conversation_files,
     document_files,
     document_path,
@@ -311,6 +313,14 @@ def entropy_scan(spark, folder):
     return flat(scan(documents(spark, folder), entropy_filter(PROSE_LIMIT)), "entropy")
 
 
+@query("scan_bytes")
+def scan_bytes(spark, folder):
+    """Documents as content that is not UTF-8: accented letters have lost the first of their two bytes."""
+    table = read_table(spark, folder, "documents")
+    cut = F.encode(F.translate(byte_view(F.col("text").cast("binary")), "\xc3", ""), "ISO-8859-1")
+    return flat(scan_exact(as_byte_files(table, document_path(), cut), prose_filter()), "complexity", "entropy")
+
+
 @query("complexity_filter")
 def complexity_scan(spark, folder):
     return flat(scan(documents(spark, folder), complexity_filter()), "complexity")

@@ -428,6 +428,15 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT path, size, CASE WHEN path IN (SELECT path FROM {_scored('docs')} WHERE {_PROSE})
                                    THEN 'quarantined' ELSE 'clean' END AS verdict FROM docs"""
         ),
+        "scan_bytes": _with(
+            f"""SELECT path, CAST(line_no AS INTEGER) AS line_no, CAST(col AS INTEGER) AS col, read AS token,
+              CASE WHEN size >= 15 AND classes >= 3 THEN CAST(classes AS VARCHAR) END AS complexity, {_if_e(c.PROSE_LIMIT)}
+              FROM (SELECT *, {_CLASSES} AS classes, CASE WHEN size < 256 THEN {_entropy_of("string_split(read, '')", 'size')}
+                  ELSE {_entropy_of("list_filter(regexp_extract_all(hex(token), '..'), lambda x: x <> 'C3')", 'size')} END AS e
+                FROM (SELECT *, regexp_replace(token, '[\u00c0-\u00ff]', chr(65533), 'g') AS read,
+                    strlen(token) - length(regexp_replace(token, '[^\u00c0-\u00ff]', '', 'g')) AS size FROM {_tokens('docs')}))
+              WHERE size >= 15 AND classes >= 3 OR {_above(c.PROSE_LIMIT)}"""
+        ),
         "stream_batch_gate": _with(
             """SELECT path, size, flagged, CASE WHEN max(flagged) OVER (PARTITION BY batch) THEN 'refused' ELSE 'admitted' END AS verdict FROM judged""",
             f"""judged AS (

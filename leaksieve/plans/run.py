@@ -47,7 +47,7 @@ def scan_manifest(manifest: DataFrame, root: str, config: ScanConfig) -> DataFra
     Files are read in blocks of whole lines; hits of a file's blocks are put
     together afterwards, and no text is. A file that cannot be read ends the job.
     """
-    blocks = all_readable(read_blocks(manifest, root))
+    blocks = all_readable(read_blocks(manifest, root, exact=True))
     return group_blocks(block_hits(blocks, effective_filter(config)))
 
 

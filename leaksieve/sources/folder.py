@@ -83,11 +83,11 @@ def list_folder(spark: SparkSession, root: str) -> DataFrame:
     return listed.filter(~F.col("is_folder")).drop("is_folder")
 
 
-def _decode(content: bytes) -> tuple[str, bool, None]:
+def _decode(content: bytes, exact: bool = False) -> tuple[str, bool, None]:
     try:
         return content.decode("utf-8"), True, None
     except UnicodeDecodeError:
-        return content.decode("utf-8", errors="replace"), False, None
+        return content.decode("latin-1") if exact else content.decode("utf-8", errors="replace"), False, None
 
 
 def _failed(error: OSError) -> tuple[None, None, str]:
@@ -146,12 +146,16 @@ def read_files(manifest: DataFrame, root: str) -> DataFrame:
     return spread.mapInPandas(lambda batches: _batches(texts(batches), _READ.names), _READ)
 
 
-def read_blocks(manifest: DataFrame, root: str, block_bytes: int = _TASK_BYTES, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def read_blocks(
+    manifest: DataFrame, root: str, block_bytes: int = _TASK_BYTES, max_line_bytes: int = MAX_LINE_BYTES, exact: bool = False
+) -> DataFrame:
     """As ``read_files``, but a large file comes as several rows of whole lines, each read by its own task.
 
     A row holds the lines that begin in its block. A line that goes on for more
     than ``max_line_bytes`` beyond it ends the job.
 
+    With ``exact``, a block that is not UTF-8 is a byte view (see ``functions.views``), and a column ``exact`` says that there may be some.
+
     ``line_base`` is the number of lines before a row. To know it, the line
     feeds of files beyond one block are counted first, block by block as well.
     Operators that need a file in one row refuse such a table.
@@ -212,7 +216,8 @@ def read_blocks(manifest: DataFrame, root: str, block_bytes: int = _TASK_BYTES,
                     yield (*row, *_failed(error), earlier_feeds)
                     continue
                 if content or offset == 0:
-                    yield (*row, *_decode(content), earlier_feeds + skipped)
+                    yield (*row, *_decode(content, exact), earlier_feeds + skipped)
 
     spread = placed.repartition(tasks, "path", "offset")
-    return spread.mapInPandas(lambda batches: _batches(texts(batches), _READ_BLOCKS.names), _READ_BLOCKS)
+    read = spread.mapInPandas(lambda batches: _batches(texts(batches), _READ_BLOCKS.names), _READ_BLOCKS)
+    return read.withColumn("exact", F.lit(True)) if exact else read

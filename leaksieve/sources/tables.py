@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leaksieve.functions.views import text_or_view
+
 
 # What identifies a row of each table.
 KEYS = {
@@ -51,6 +53,12 @@ def as_files(table: DataFrame, path: Column, text: Column, mode: Column | None =
     )
 
 
+def as_byte_files(table: DataFrame, path: Column, content: Column, mode: Column | None = None) -> DataFrame:
+    """The ``files`` relation of a table with binary content, and ``valid_utf8``; other content is a byte view (see ``scan_exact``)."""
+    files = as_files(table.withColumn("__content", content), path, F.col("__content"), mode)
+    return files.withColumns({"valid_utf8": F.is_valid_utf8(F.col("text").cast("string")), "text": text_or_view(F.col("text"))})
+
+
 def document_path() -> Column:
     """A path per document, made up so that each file predicate meets some."""
     special = {0: "go.sum", 1: "LICENSE", 2: "LICENSE-MIT", 3: "x.secret", 4: "keep.secret", 5: ".git/obj", 6: ".env"}

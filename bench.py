@@ -39,6 +39,10 @@ HEADLINE = (
     "scan_pages",
     "stream_scan",
     "stream_gate",
+    "stream_batch_gate",
+    "rules_table_scan",
+    "unit_scan",
+    "scan_bytes",
 )
 
 

@@ -71,25 +71,27 @@ def mix_sources(
     ``total`` is the bytes to aim at (default: as many as there are). A source
     without a weight gets 0; a null source is a source of its own (with
     ``weights`` it gets 0). A source without any bytes keeps a mean of 1. Rows
-    that share an id share their draw; null ids draw as one. An empty table
+    that share an id share their draw; rows without one are drawn by their text. An empty table
     gives no rows. A copy column of a name that exists replaces it.
     """
-    size = F.coalesce(F.octet_length(F.col(text_column).cast("string")), F.lit(0))
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    size = F.octet_length(text)
+    name = F.coalesce(F.col(id_column).cast("string"), F.md5(text.cast("binary")))
     rates = stored(source_rates(docs, F.col(source_column), size, weights, alpha, total))
     few = rates.limit(max_sources + 1).count() <= max_sources
     rows, on = docs, docs[source_column].eqNullSafe(rates["__source"])
     if few:
         joined = rows.join(small(rates, max_sources), on)
     else:
-        rows = docs.withColumn("__salt", F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int"))
+        rows = docs.withColumn("__salt", F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
         salted = rates.withColumn("__to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.join(salted, rows[source_column].eqNullSafe(salted["__source"]) & (F.col("__salt") == F.col("__to")))
     draws = F.aggregate(
         F.sequence(F.lit(1), F.col("__pieces")),
         F.lit(0),
-        lambda n, i: n + F.size(F.filter("__table", lambda p: p < unit(F.col(id_column), i, F.lit(seed)))),
+        lambda n, i: n + F.size(F.filter("__table", lambda p: p < unit(name, i, F.lit(seed)))),
     )
     drawn = joined.withColumn("__n", draws).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    placed = drawn.withColumn("__at", F.xxhash64(id_column, "__copy", F.lit(seed)))
+    placed = drawn.withColumn("__at", F.xxhash64(name, "__copy", F.lit(seed)))
     kept = [F.col(c) for c in docs.columns if c != copy_column] + ([F.col("__copy").alias(copy_column)] if copy_column else [])
     return placed.repartition("__at").sortWithinPartitions("__at").select(*kept)

@@ -13,7 +13,7 @@ pieces AS (SELECT source, greatest(1, ceil(rate / 16))::INT AS n, rate / greates
 sums AS (SELECT source, n, sum(exp(-m + k * ln(m) - lgamma(k + 1.0))) OVER (PARTITION BY source ORDER BY k) AS c
     FROM pieces, generate_series(0, 80) AS t(k)),
 tables AS (SELECT source, n, list(c) AS c FROM sums GROUP BY source, n),
-draws AS (SELECT d.*, list_sum([len(list_filter(t.c, lambda x: x < {_UNIT.format("coalesce(d.doc_id::VARCHAR, '') || ':' || i || ':2'")}))
+draws AS (SELECT d.*, list_sum([len(list_filter(t.c, lambda x: x < {_UNIT.format("coalesce(d.doc_id::VARCHAR, md5(coalesce(d.text, ''))) || ':' || i || ':2'")}))
     for i in range(1, t.n + 1)])::INT AS copies FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, text, lang, source, n_chars, unnest(range(copies))::INT AS copy FROM draws WHERE copies > 0
 """

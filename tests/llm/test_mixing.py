@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from cases import SMALL, documents
+from pyspark.sql import functions as F
 
 from leaksieve.llm import mixing
 from leaksieve.llm.common import read
@@ -55,6 +56,13 @@ def test_awkward_rows(spark):
     assert mixing.mix_sources(docs, {}).collect() == []
 
 
+def test_rows_without_an_id_are_drawn_apart(spark):
+    docs = documents(spark, [(None, f"text number {n:04d}") for n in range(2000)]).withColumn("source", F.lit("a"))
+    got = mixing.mix_sources(docs).collect()
+    assert 1800 < len(got) < 2200
+    assert 1150 < len({r["text"] for r in got}) < 1380
+
+
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix_sources(read(spark, SMALL, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan

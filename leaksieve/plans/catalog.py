@@ -35,6 +35,7 @@ from leaksieve.operators.rules import rule_table_hits
 from leaksieve.operators.scan import has_hit, rule_hits, scan, scan_by_file, scan_exact, scan_literals, scan_paths
 from leaksieve.operators.tokens import lines, token_counts, tokens
 from leaksieve.operators.units import scan_units
+from leaksieve.plans.run import scan_tree
 from leaksieve.session import scratch_dir
 from leaksieve.sources import ignorefile
 from leaksieve.sources.tables import (
@@ -45,6 +46,7 @@ from leaksieve.sources.tables import (
     page_files,
     read_table,
 )
+from leaksieve.sources.tree import stream_tree, write_tree
 from leaksieve.streaming import batch_files, start_batch_gate, start_gate, start_scan, stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +56,7 @@ PROSE_LIMIT = 3.5
 LOOSE_LIMIT = 3.0
 PAGE_LIMIT = 4.5
 MAX_SIZE = 4096
+TREE_SIZE = 1 << 20
 LINE_LIMIT = 1000
 RULES = {
     "sha1": "[0-9a-f]{40}",
@@ -125,6 +128,20 @@ def scan_file_list(spark, folder):
     return flat(scan_paths(documents(spark, folder), paths, entropy_filter(LOOSE_LIMIT), MAX_SIZE), "entropy")
 
 
+def document_tree(spark: SparkSession, folder: str) -> str:
+    """All documents as files of a new tree, modes included."""
+    root = scratch_dir(spark, "tree")
+    write_tree(documents(spark, folder), root).write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query("folder_scan")
+def folder_scan(spark, folder):
+    """Documents as files of a tree, read back by the data source: size, exemptions and modes decide, in blocks."""
+    config = ScanConfig(max_file_size=TREE_SIZE, entropy_limit=LOOSE_LIMIT, use_gitignore=False)
+    return flat_hits(scan_tree(spark, document_tree(spark, folder), config))
+
+
 def snapshots_of_documents(spark, folder):
     """The documents as they are, and an earlier state of them.
 
@@ -503,6 +520,15 @@ def stream_scan(spark, folder):
     return flat(spark.read.schema(FINDINGS).parquet(f"{run}/found"), "entropy")
 
 
+@query("stream_folder_scan")
+def stream_folder_scan(spark, folder):
+    """Documents as files of a tree, watched as a stream."""
+    run = scratch_dir(spark, "stream-folder")
+    watched = stream_tree(spark, document_tree(spark, folder), settle=0)
+    start_scan(watched, entropy_filter(LOOSE_LIMIT), f"{run}/found", f"{run}/checkpoint").awaitTermination()
+    return flat(spark.read.schema(FINDINGS).parquet(f"{run}/found"), "entropy")
+
+
 @query("stream_gate")
 def stream_gate(spark, folder):
     run = scratch_dir(spark, "stream-gate")

@@ -424,6 +424,11 @@ def oracle_sql() -> dict[str, str]:
         "scan_pages": _with(_found("webs", f"({_COMPLEX} OR {page})", _IF_C, _if_e(c.PAGE_LIMIT))),
         "scan_conversations": _with(_found("chats", loose, _E)),
         "stream_scan": _with(scanned),
+        "stream_folder_scan": _with(scanned),
+        "folder_scan": _with(_hits_text(
+            f"SELECT * FROM ({scanned}) WHERE path IN "
+            f"(SELECT path FROM docs WHERE size <= {c.TREE_SIZE} AND NOT ({_EXECUTABLE}) AND NOT {is_exempt})"
+        )),
         "stream_gate": _with(
             f"""SELECT path, size, CASE WHEN path IN (SELECT path FROM {_scored('docs')} WHERE {_PROSE})
                                    THEN 'quarantined' ELSE 'clean' END AS verdict FROM docs"""

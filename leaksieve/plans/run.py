@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Collection, Iterable, Sequence
 from functools import reduce
@@ -19,6 +20,7 @@ from leaksieve.session import scratch_dir
 from leaksieve.sources.folder import all_readable, list_folder, read_blocks, read_files
 from leaksieve.sources.ignorefile import add_rule, read_rules
 from leaksieve.sources.reports import write_report
+from leaksieve.sources.tree import local_root, read_tree
 
 
 def effective_filter(config: ScanConfig) -> TokenFilter:
@@ -71,6 +73,16 @@ def scan_folder(spark: SparkSession, root: str, config: ScanConfig, previous: Da
     return scan_manifest(eligible(manifest, config, rules), root, config)
 
 
+def scan_tree(spark: SparkSession, root: str, config: ScanConfig, **options: object) -> DataFrame:
+    """By-file findings of a folder tree by ``read_tree``: listing and reading are one job. Size, exemptions and modes are part of the walk."""
+    rules = read_rules(f"{local_root(root)}/.gitignore") if config.use_gitignore else []
+    chosen = {"exempt": json.dumps(config.exempt), "executables": "false"} | options
+    if config.max_file_size is not None:
+        chosen["maxSize"] = config.max_file_size
+    blocks = all_readable(read_tree(spark, root, **chosen))
+    return group_blocks(block_hits(eligible(blocks, config, rules), effective_filter(config)))
+
+
 def scan_folders(spark: SparkSession, roots: Sequence[str], config: ScanConfig) -> DataFrame:
     """By-file findings of several folder trees; a path begins with its root, so equal relative paths stay apart."""
     if not roots:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from leaksieve.operators.filters import TokenFilter
 from leaksieve.operators.findings import flag_files
-from leaksieve.operators.scan import scan
+from leaksieve.operators.scan import scan, scan_exact
 
 
 # Files, and bytes, that one micro-batch takes at most.
@@ -44,9 +44,10 @@ def start_scan(
     """Append the findings of each new file to ``folder``.
 
     Without ``every`` all that is available is scanned, then the query ends. The
-    file sink's log makes the output exactly-once.
+    file sink's log makes the output exactly-once. Streams of a folder tree (``stream_tree``) may hold byte views, and are scanned as such.
     """
-    return _start(scan(files, token_filter), folder, checkpoint, None, every)
+    found = scan_exact(files, token_filter) if "exact" in files.columns else scan(files, token_filter)
+    return _start(found, folder, checkpoint, None, every)
 
 
 def start_gate(

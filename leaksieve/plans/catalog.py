@@ -129,9 +129,12 @@ def scan_file_list(spark, folder):
 
 
 def document_tree(spark: SparkSession, folder: str) -> str:
-    """All documents as files of a new tree, modes included."""
+    """All documents as files of a new tree, modes included; a thousand share a folder, and names end with the number."""
     root = scratch_dir(spark, "tree")
-    write_tree(documents(spark, folder), root).write.format("noop").mode("overwrite").save()
+    number = F.regexp_extract("path", r"/d(\d+)/", 1)
+    shared = F.concat(F.lit("/d"), F.expr("bigint(regexp_extract(path, '/d([0-9]+)/', 1)) div 1000").cast("string"), F.lit("/"))
+    path = F.concat(F.regexp_replace(F.col("path"), F.lit(r"/d\d+/"), shared), F.lit("~"), number)
+    write_tree(documents(spark, folder).withColumn("path", path), root).write.format("noop").mode("overwrite").save()
     return root
 
 

@@ -164,6 +164,13 @@ def _hits_text(inner: str) -> str:
       FROM ({inner}) GROUP BY path"""
 
 
+def _in_tree(inner: str) -> str:
+    """The same with the paths that the documents have in a tree: a thousand share a folder."""
+    number = r"regexp_extract(path, '/d(\d+)/', 1)"
+    return rf"""SELECT * REPLACE (regexp_replace(path, '/d\d+/', '/d'||CAST(CAST({number} AS BIGINT) // 1000 AS VARCHAR)||'/')||'~'||{number} AS path)
+      FROM ({inner})"""
+
+
 _LITERAL = r'''"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`[^`]*`'''
 _MASKED = f"(regexp_matches(token, {_quote(c.RULES['sha1'])}) OR regexp_matches(token, {_quote(c.RULES['email'])}))"
 
@@ -424,11 +431,11 @@ def oracle_sql() -> dict[str, str]:
         "scan_pages": _with(_found("webs", f"({_COMPLEX} OR {page})", _IF_C, _if_e(c.PAGE_LIMIT))),
         "scan_conversations": _with(_found("chats", loose, _E)),
         "stream_scan": _with(scanned),
-        "stream_folder_scan": _with(scanned),
-        "folder_scan": _with(_hits_text(
+        "stream_folder_scan": _with(_in_tree(f"SELECT * FROM ({scanned})")),
+        "folder_scan": _with(_in_tree(_hits_text(
             f"SELECT * FROM ({scanned}) WHERE path IN "
             f"(SELECT path FROM docs WHERE size <= {c.TREE_SIZE} AND NOT ({_EXECUTABLE}) AND NOT {is_exempt})"
-        )),
+        ))),
         "stream_gate": _with(
             f"""SELECT path, size, CASE WHEN path IN (SELECT path FROM {_scored('docs')} WHERE {_PROSE})
                                    THEN 'quarantined' ELSE 'clean' END AS verdict FROM docs"""

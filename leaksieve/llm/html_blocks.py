@@ -19,6 +19,8 @@ import html
 import random
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -47,6 +49,8 @@ BLOCK_TAGS = frozenset(
     "tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Levels that a block's path has at most; tags that open below it hold no level of their own, as in browsers.
+MAX_DEPTH = 512
 #: What is between these is never text of the page.
 RAW_TAGS = frozenset("script style noscript template textarea title iframe svg math object".split())
 CLOSED_BY = {
@@ -61,7 +65,11 @@ DROP = frozenset(
     "copyright pagination pager toolbar navbar button select".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]{0,63}+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|[^<]+|<", re.DOTALL
+)
+_HEAD = re.compile(r"</?[a-zA-Z][^\s/>]{0,63}+")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _PART = re.compile(r"[a-zA-Z]+")
 
@@ -77,6 +85,23 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return names
 
 
+class _Ends:
+    """Which tags of a page end, from one pass over its quotes and angle brackets: a tag that doesn't is not looked through again."""
+
+    def __init__(self, page: str) -> None:
+        self._marks = [found.start() for found in _QUOTE_OR_END.finditer(page)]
+        self._ended = [False] * (len(self._marks) + 1)
+        later: dict[str, int] = {}
+        for k in range(len(self._marks) - 1, -1, -1):
+            sign = page[self._marks[k]]
+            # A quote ends where the next of its kind is, and what follows that decides.
+            self._ended[k] = sign == ">" or sign in later and self._ended[later[sign] + 1]
+            later[sign] = k
+
+    def ended(self, attributes_at: int) -> bool:
+        return self._ended[bisect_left(self._marks, attributes_at)]
+
+
 @dataclass
 class Block:
     path: tuple[tuple[str, ...], ...]
@@ -85,9 +110,15 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, white space run together, character references decoded; hidden and raw parts left out."""
+    """The blocks of a page in order, white space run together, character references decoded; raw parts left out.
+
+    Takes time in proportion to the page, whatever its markup: a ``<`` of a tag that never ends is text.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # Of each open tag its names, and how many levels of the path lie outside of it.
+    stack: list[tuple[str, tuple[str, ...], int]] = []
+    path: list[tuple[str, ...]] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked, at, links = 0, 0, 0
 
@@ -96,16 +127,29 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append(Block(tuple(names for _, names in stack if names[0] in BLOCK_TAGS or len(names) > 1), joined, min(linked, len(joined))))
+                out.append(Block(tuple(path), joined, min(linked, len(joined))))
         text, linked = [], 0
 
-    size = len(page)
+    def close(first: int) -> None:
+        nonlocal links
+        for tag, _, outside in reversed(stack[first:]):
+            opened[tag] -= 1
+            links -= tag == "a"
+            del path[outside:]
+        del stack[first:]
+
+    size, last = len(page), page.rfind(">")
+    marks: _Ends | None = None
     while at < size:
-        found = _TOKEN.match(page, at)
-        at = found.end()
-        tag = found.group(2)
+        head = _HEAD.match(page, at) if marks or at > last else None
+        unended = head and (at > last or not marks.ended(head.end())) or at > last and page.startswith(("<!", "<?"), at) and not page.startswith("<!--", at)
+        found = None if unended else _TOKEN.match(page, at)
+        at = at + 1 if unended else found.end()
+        tag = None if unended else found.group(2)
         if tag is None:
-            piece = found.group()
+            piece = "<" if unended else found.group()
+            if piece == "<" and marks is None and at <= last:
+                marks = _Ends(page)
             if piece[0] != "<" or len(piece) == 1:
                 text.append(piece)
                 if links:
@@ -115,10 +159,9 @@ def blocks_of(page: str) -> list[Block]:
         if found.group(1):
             if tag in BLOCK_TAGS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1 if opened[tag] else -1, -1, -1):
                 if stack[i][0] == tag:
-                    links -= sum(name == "a" for name, _ in stack[i:])
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in BLOCK_TAGS and tag not in BLOCK_TAGS:
                     break
@@ -126,18 +169,22 @@ def blocks_of(page: str) -> list[Block]:
         if tag in RAW_TAGS and not found.group(3).endswith("/"):
             if tag in BLOCK_TAGS:
                 flush()
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else size
+            shut = re.compile(rf"</{re.escape(tag)}\b[^>]*+(?:>|\Z)", re.IGNORECASE).search(page, at)
+            at = shut.end() if shut else size
             continue
         if tag in BLOCK_TAGS:
             flush()
             ends = CLOSED_BY.get(tag, frozenset({"p"}))
-            while stack and (stack[-1][0] in ends or stack[-1][0] not in BLOCK_TAGS and any(name in ends for name, _ in stack[-3:])):
-                links -= stack.pop()[0] == "a"
+            while stack and (stack[-1][0] in ends or stack[-1][0] not in BLOCK_TAGS and any(name in ends for name, *_ in stack[-3:])):
+                close(len(stack) - 1)
         elif tag == "br":
             text.append(" ")
-        if tag not in VOID_TAGS and not found.group(3).endswith("/"):
-            stack.append((tag, _names(tag, found.group(3))))
+        if tag not in VOID_TAGS and not found.group(3).endswith("/") and len(stack) < MAX_DEPTH:
+            names = _names(tag, found.group(3))
+            stack.append((tag, names, len(path)))
+            opened[tag] += 1
+            if tag in BLOCK_TAGS or len(names) > 1:
+                path.append(names)
             links += tag == "a"
     flush()
     return out

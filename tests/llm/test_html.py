@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -24,6 +25,24 @@ def test_blocks_of_broken_markup():
     assert [b.linked for b in hb.blocks_of("<p><a href='x'>link</a></p><p>not</p>")] == [4, 0]
 
 
+@pytest.mark.parametrize("piece", ["<p a='", "<p a=\"'", "<p ", "<p", "</p", "<!x", "<?", "<", "<div>x", "<b>x</i>", "<script>", "<!--", "<a b=>x"])
+@pytest.mark.parametrize("tail", ["", "'>"])
+def test_malformed_pages_take_time_in_proportion(piece, tail):
+    """Two megabytes of tags that never end, or never close."""
+    started = time.process_time()
+    hb.blocks_of(piece * (2_000_000 // len(piece)) + tail)
+    assert time.process_time() - started < 15
+
+
+def test_tags_that_never_end_are_text():
+    assert [b.text for b in hb.blocks_of("<p>a < b <i c='d>e</p>f<p>g")] == ["a < b <i c='d>e", "f", "g"]
+    assert [b.text for b in hb.blocks_of("<p>a<!x<p>b <c")] == ["ab <c"]
+    assert [b.text for b in hb.blocks_of("a <p x='<p>b")] == ["a <p x='", "b"]
+    deep = "<div>x" * 2000 + "</div>" * 2000 + "<p>end</p>"
+    blocks = hb.blocks_of(deep)
+    assert len(blocks) == 2001 and max(len(b.path) for b in blocks) == hb.MAX_DEPTH and blocks[-1].text == "end"
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(1)
     net = hb.BlockLabeller()

@@ -43,6 +43,8 @@ HEADLINE = (
     "rules_table_scan",
     "unit_scan",
     "scan_bytes",
+    "folder_scan",
+    "stream_folder_scan",
 )
 
 

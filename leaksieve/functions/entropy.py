@@ -59,5 +59,18 @@ def entropy(token: Column, mode: str = "compat") -> Column:
 
 
 def entropy_text(value: Column) -> Column:
-    """Four decimals, exact ties to even; nine decimals first so that float noise makes no tie."""
-    return F.format_string("%.4f", F.bround(F.round(value, 9), 4))
+    """Four decimals as C's ``printf`` has them: the double itself is rounded, exact ties to even. Nine decimals first, so that float noise makes no tie.
+
+    ``bround`` and ``format_string`` round the shortest decimal that reads as the double: 4.12355 is a tie to them, where the double lies below.
+    """
+
+    def text(nine: Column) -> Column:
+        # Ten-thousandths below, and on which side of the middle (2 * below + 1) / 20000 the double lies: its halves
+        # are exact when multiplied by 625, and so is what is left of them.
+        below = F.floor(nine * 10000)
+        high = nine.cast("float").cast("double")
+        over = (high * 625 - (below * 2 + 1) / F.lit(32.0)) + (nine - high) * 625
+        steps = below + F.when((over > 0) | ((over == 0) & (below % 2 == 1)), 1).otherwise(0)
+        return F.format_string("%d.%04d", F.floor(steps / 10000), steps % 10000)
+
+    return F.element_at(F.transform(F.array(F.round(value, 9)), text), 1)

@@ -80,6 +80,15 @@ def test_ties_of_the_fifth_decimal_go_to_even(spark):
     assert column(spark, ["x"], lambda t: entropy_text(F.lit(3.0312500000000004))) == ["3.0312"]
 
 
+def test_fifth_decimals_round_as_printf_rounds_the_double(spark):
+    """4.12345 lies above the middle as a double, and 4.12355 below."""
+    values = [4.12345, 4.12355, 1.00005, 0.00005, 0.0, 0.00004, 9.99995, 0.09375, 0.15625, 17.99996]
+    values += [(2 * n + 1) / 20000 for n in range(0, 160000, 37)] + [n / 10000 for n in range(0, 80000, 41)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", entropy_text(F.col("v"))).collect()
+    assert [row[1] for row in got] == ["%.4f" % round(row[0], 9) for row in got]
+    assert [row[1] for row in got][:2] == ["4.1235", "4.1235"]
+
+
 def test_fields_split_on_unicode_white_space_only(spark):
     text = "".join(f"w{ord(c):x}{c}" for c in brute.SPACE) + "end"
     not_space = "a​b᠎c\x1cd\x00e﻿f"

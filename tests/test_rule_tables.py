@@ -119,3 +119,17 @@ def test_the_plan_has_one_size(spark, files_of):
     assert abs(many - few) < 200
     assert "CartesianProduct" not in (text := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in text
     assert {r["header"] for r in found.collect()} == {"r7", "r71", "r712", "r1", "r19", "r199"}
+
+
+def test_a_token_is_tried_once_for_all_its_places_and_headers(spark, files_of):
+    """What matched is stored for each distinct token and rule, not for each place."""
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("matched-*"))
+    table = spark.createDataFrame([(f"r{n}", "alpha[0-9]") for n in range(30)] + [("hex", "[0-9]{4}")], "header string, pattern string")
+    found = rule_table_hits(files_of({"a": "alpha1 beta 12345\n" * 200, "b": "xalpha2 alpha1"}), table)
+    (made,) = set(shared.glob("matched-*")) - before
+    assert spark.read.parquet(str(made)).count() == 2 * 30
+    counts = {tuple(r)[:2]: r["count"] for r in found.groupBy("path", "value").count().collect()}
+    assert counts == {("a", "alpha1"): 6000, ("b", "alpha1"): 30, ("b", "alpha2"): 30, ("a", "1234"): 200}

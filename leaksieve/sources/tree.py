@@ -17,6 +17,7 @@ import time
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from urllib.parse import unquote, urlparse
@@ -42,6 +43,8 @@ PART_FILES = 10_000
 PART_BYTES = 128 * 1024 * 1024
 BLOCK_BYTES = 32 * 1024 * 1024
 EXECUTE_BITS = 0o111
+#: Files that a task writes at a time: each waits for the disk to have it.
+WRITERS = 16
 #: Seconds that a stream leaves a file alone after its last change: clocks of file servers are coarse and differ.
 SETTLE = 2.0
 
@@ -181,7 +184,9 @@ def _rows(root: str, file: tuple, block_bytes: int, max_line_bytes: int) -> Iter
     shown = (_shown(file[0]), *file[1:])
     try:
         with open(os.path.join(root, file[0]), "rb") as handle:
-            while (content := handle.read(block_bytes)) or first:
+            size = os.fstat(handle.fileno()).st_size
+            # No more is asked for than there is, since room is made for all that is asked for; the one byte more tells the end.
+            while (content := handle.read(min(block_bytes, max(0, size - handle.tell()) + 1))) or first:
                 if content and not content.endswith(b"\n"):
                     rest = handle.readline(max_line_bytes + 1)
                     if len(rest) > max_line_bytes:
@@ -345,10 +350,14 @@ def write_tree(files: DataFrame, root: str) -> DataFrame:
     _by_value()
     top = os.path.abspath(local_root(root))
 
-    def place(path: str, text: str, mode: float) -> int:
+    def target_of(path: str) -> str:
         target = os.path.normpath(os.path.join(top, path))
         if not target.startswith(top.rstrip("/") + "/"):
             raise ValueError(f"{path}: outside of the tree")
+        return target
+
+    def place(row: tuple[str, str, float]) -> int:
+        target, text, mode = row
         os.makedirs(os.path.dirname(target), exist_ok=True)
         held = os.path.join(os.path.dirname(target), f".{os.urandom(8).hex()}.part")
         content = text.encode("utf-8")
@@ -367,8 +376,11 @@ def write_tree(files: DataFrame, root: str) -> DataFrame:
         return len(content)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sizes = [place(*row) for row in batch.itertuples(index=False)]
-            yield pd.DataFrame({"path": batch["path"], "size": pd.Series(sizes, dtype="int64")})
+        with ThreadPoolExecutor(WRITERS) as pool:
+            for batch in batches:
+                # A path that leads out ends this before any row after it; the rows ahead are written.
+                rows = ((target_of(path), text, mode) for path, text, mode in batch.itertuples(index=False))
+                sizes = list(pool.map(place, rows))
+                yield pd.DataFrame({"path": batch["path"], "size": pd.Series(sizes, dtype="int64")})
 
     return files.select("path", "text", "mode").dropna(subset=["path", "text"]).mapInPandas(write, _WRITTEN)

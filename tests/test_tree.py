@@ -218,3 +218,20 @@ def test_a_task_that_dies_while_writing_leaves_the_earlier_file(tmp_path, monkey
     with pytest.raises(Exception, match="(?i)is a directory"):
         write_tree(files_of({"b": "new"}), str(root)).count()
     assert sorted(os.listdir(root)) == ["a", "b"] and (root / "b" / "x").read_text() == "kept"
+
+
+def test_a_small_file_takes_no_room_of_a_whole_block(tmp_path):
+    """Room was made for 32 MB twice a file."""
+    import tracemalloc
+
+    from leaksieve.sources.tree import BLOCK_BYTES, MAX_LINE_BYTES, _rows
+
+    texts = {"small": "a\nb", "empty": "", "longer": "line\n" * 5000}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    tracemalloc.start()
+    read = {name: [r[4] for r in _rows(str(tmp_path), (name, 0, 0, None), BLOCK_BYTES, MAX_LINE_BYTES)] for name in texts}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert read == {name: [text] for name, text in texts.items()}
+    assert peak < 1 << 20

@@ -6,12 +6,14 @@
    universe of shingles by hash into one part more than that many: some part is
    the same in both. A class therefore gives one key per part, and classes that
    share a key may be linked. The number of parts depends on a size grade;
-   linked sets lie in the same or in neighbouring grades.
+   linked sets lie in the same or in neighbouring grades. There are some parts to spare, so
+   that those with one element or none, which unlike sets share by chance, need give no key.
 3. The classes of a key meet with small signatures, how many of their elements fall in
-   each of 512 buckets, as bitmaps: bit (bucket, i) is set if there are more than i.
-   The common bits of two bound their overlap. What the bound lets pass ties
-   classes to candidate groups (components by joins). Each text of a group
-   moves once, to the task of its group.
+   each bucket, as bitmaps: bit (bucket, i) is set if there are more than i.
+   The common bits of two bound their overlap. The number of buckets grows with the set,
+   else all large sets would seem alike; the wider of two signatures is folded. What the
+   bound lets pass ties classes to candidate groups (components by joins). Each text of a
+   group moves once, to the task of its group.
 4. There the bitmap has a bit for every element that two sets of the group share.
    In both places a signature tree holds the sets: a leaf is a set's bitmap and size, a
    node the OR of its bitmaps and its range of sizes. Two nodes are traversed
@@ -19,9 +21,9 @@
    pair; pairs that links already join are passed over, so a group of near
    copies costs about a comparison per member.
 5. A group beyond ``block_rows`` is dealt over blocks of sets of one size grade, each
-   taken by itself. Then two blocks of the same or of neighbouring grades meet in a task
-   unless all their members are in one component by then, so no link between different
-   components is missed.
+   taken by itself. Then two blocks of the same or of neighbouring grades meet in a task,
+   but for members that the largest component of the group holds on both sides, so no link
+   between different components is missed.
 6. Links joined over all groups give the component of each class.
 
 ``shingle_links`` is the join itself: nothing is passed over for being joined, all blocks
@@ -46,8 +48,10 @@ from .words import Words, mixed, packed, sets, steps
 LEAF = 16
 #: Bits of a signature at most.
 MOST_BITS = 1 << 14
-#: Buckets of the small signatures.
-BUCKETS = 512
+#: Elements for each bucket of a small signature; its buckets at least and, as a power of two, at most.
+LOAD, LEAST_BUCKETS, MOST_BUCKETS = 4, 64, 1 << 14
+#: Counts of signatures that a task unfolds at once, and those of one key, beyond which they are folded.
+STEP_COUNTS, KEY_COUNTS = 1 << 22, 1 << 26
 #: Classes of a key up to which all pairs are looked at; beyond, a tree; beyond the second all are tied, and no task holds them.
 FEW, MOST = 16, 20_000
 #: Members and bytes of text of a group that one task takes at once.
@@ -65,30 +69,25 @@ def grades(percent: int, size: int) -> list[int]:
     return [*floors, floors[-1] * 100 // percent + 1, (floors[-1] * 100 // percent + 1) * 100 // percent + 1]
 
 
-def parts_of(percent: int, floors: list[int], grade: int) -> tuple[int, int]:
-    """Parts of a scheme for sets of this grade and the next, and the spare among them.
-
-    Without the spare they are one more than the elements by which linked sets
-    differ. A set may leave as many parts empty as the spare before it must give
-    keys for empty parts too.
-    """
+def parts_of(percent: int, floors: list[int], grade: int) -> int:
+    """Parts of a scheme for sets of this grade and the next: one more than the elements by which linked sets differ, and some to spare."""
     largest = (floors[grade + 1] - 1) + (floors[grade + 2] - 1)
     parts = largest * (100 - percent) // (100 + percent) + 1
-    spare = 1 + parts // 50 if parts > 1 else 0
-    return parts + spare, spare
+    return parts + (1 + parts // 5 if parts > 1 else 0)
 
 
 def part_keys(values: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of packed sets and the set of each: a hash for each part of the two schemes of the set's grade.
 
-    Linked sets agree in more parts than the spare. So they agree in a part that
-    is not empty, unless both have more empty parts than that; only such
-    sets give keys for empty parts.
+    A set and any that it is linked with agree in all parts but as many as the elements by
+    which they differ at most. If fewer of its parts are thin, with one element or none, than
+    that leaves, they agree in a part that is not thin. Only sets with more thin parts
+    give keys for these too; if both sets are such, any part that they agree in has a key.
     """
     sizes = np.diff(first)
     floors = np.array(grades(percent, int(sizes.max(initial=1))))
     grade = np.searchsorted(floors, sizes, "right") - 1
-    parts, spares = np.array([parts_of(percent, floors.tolist(), g) for g in range(len(floors) - 2)]).T
+    parts = np.array([parts_of(percent, floors.tolist(), g) for g in range(len(floors) - 2)])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     keys, rows = [], []
     spread = (mixed(values) >> np.uint64(33)).astype(np.int64)
@@ -96,15 +95,18 @@ def part_keys(values: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.n
         scheme = grade - back
         live = (sizes > 0) & (scheme >= 0)
         count = np.where(live, parts[np.maximum(scheme, 0)], 0)
+        # The largest set that one may be linked with in this scheme, unless it is larger itself.
+        largest = floors[grade] - 1 if back else sizes * 100 // percent
+        agreed = count - (sizes + largest) * (100 - percent) // (100 + percent)
         offset = np.concatenate([[0], np.cumsum(count)])
         use = live[owner]
         who = owner[use]
         slot = offset[who] + spread[use] % count[who]
         sums = np.zeros(offset[-1], np.uint64)
         row = np.repeat(np.arange(len(sizes)), count)
-        empty = np.bincount(slot, minlength=offset[-1]) == 0
-        lacking = np.bincount(row[empty], minlength=len(sizes)) > spares[np.maximum(scheme, 0)]
-        give = ~empty | lacking[row]
+        thin = np.bincount(slot, minlength=offset[-1]) < 2
+        lacking = np.bincount(row[thin], minlength=len(sizes)) >= agreed
+        give = ~thin | lacking[row]
         with np.errstate(over="ignore"):
             np.add.at(sums, slot, mixed(values[use] ^ np.uint64(0xA5A5A5A5)))
             part = np.arange(offset[-1]) - offset[row]
@@ -127,12 +129,28 @@ def text_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return sets(*words.shingles(k), len(column))
 
 
-def bucket_counts(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """How many elements of each packed set fall in each bucket, 15 at most."""
-    n = len(first) - 1
-    bucket = (mixed(values ^ np.uint64(0x5C5C5C5C)) % np.uint64(BUCKETS)).astype(np.int64)
-    counts = np.bincount(np.repeat(np.arange(n), np.diff(first)) * BUCKETS + bucket, minlength=n * BUCKETS)
-    return np.minimum(counts, 15).astype(np.uint8).reshape(n, BUCKETS)
+def bucket_counts(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many elements of each packed set fall in each of its buckets, 15 at most, two to a byte; and the n + 1 places between sets."""
+    sizes = np.diff(first)
+    buckets = 1 << np.ceil(np.log2(np.maximum(sizes, 1) / LOAD)).clip(0).astype(np.int64)
+    buckets = buckets.clip(LEAST_BUCKETS, MOST_BUCKETS)
+    places = np.concatenate([[0], np.cumsum(buckets)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    bucket = mixed(values ^ np.uint64(0x5C5C5C5C)).view(np.int64) & (buckets[owner] - 1)
+    counts = np.minimum(np.bincount(places[owner] + bucket, minlength=places[-1]), 15).astype(np.uint8)
+    return counts[::2] | counts[1::2] << 4, places // 2
+
+
+def folded(halves: np.ndarray, places: np.ndarray, rows: np.ndarray, buckets: int) -> np.ndarray:
+    """The counts of some sets, a row each, in so many buckets: as they would be had they been counted in these."""
+    out, own = np.empty((len(rows), buckets), np.uint8), np.diff(places)[rows]
+    for half in np.unique(own).tolist():
+        every = np.flatnonzero(own == half)
+        for at in np.split(every, range(STEP_COUNTS // half or 1, len(every), STEP_COUNTS // half or 1)):
+            some = halves[places[rows[at]][:, None] + np.arange(half)]
+            counts = np.stack([some & 15, some >> 4], axis=2).reshape(len(at), -1, buckets)
+            out[at] = np.minimum(counts.sum(1, dtype=np.uint32), 15)
+    return out
 
 
 def _set_rows(k: int, percent: int):
@@ -142,8 +160,8 @@ def _set_rows(k: int, percent: int):
                 values, first = text_sets(batch.column("text"), k)
                 size = np.diff(first)
                 ids = pa.array(class_ids(values, first), pa.int64(), mask=size == 0)
-                counts = bucket_counts(values, first)
-                signs = pa.array([row.tobytes() for row in counts[:, ::2] | counts[:, 1::2] << 4], pa.binary())
+                halves, places = bucket_counts(values, first)
+                signs = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(halves)])
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), ids, signs], ["id", "n", "class", "counts"])
 
     return run
@@ -193,9 +211,10 @@ class SignatureTree:
     @classmethod
     def of_counts(cls, counts: np.ndarray, sizes: np.ndarray) -> SignatureTree:
         """A bit for each bucket and each number below its count."""
-        high = -(-max(1, int(counts.max(initial=1))) // 8) * 8
-        bits = counts[:, :, None] > np.arange(high, dtype=np.uint8)
-        maps = np.packbits(bits.reshape(len(counts), -1), axis=1).view(np.uint64)
+        high = np.arange(-(-max(1, int(counts.max(initial=1))) // 8) * 8, dtype=np.uint8)
+        step = STEP_COUNTS // counts.shape[1] or 1
+        bits = (counts[at : at + step, :, None] > high for at in range(0, len(counts), step))
+        maps = np.concatenate([np.packbits(x.reshape(len(x), -1), axis=1) for x in bits]).view(np.uint64)
         return cls(maps, sizes, sizes - counts.sum(1, dtype=np.int64), False)
 
     def _node(self, rows: np.ndarray) -> int:
@@ -317,21 +336,19 @@ def near_pairs(counts: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarr
     """Which of the pairs (i, j) their signatures let pass."""
     spare = sizes - counts.sum(1, dtype=np.int64)
     out = np.zeros(len(i), bool)
-    for at in range(0, len(i), 1 << 16):
-        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+    step = STEP_COUNTS // counts.shape[1] or 1
+    for at in range(0, len(i), step):
+        a, b = i[at : at + step], j[at : at + step]
         overlap = np.minimum(counts[a], counts[b]).sum(1, dtype=np.int64) + np.minimum(spare[a], spare[b])
         overlap = np.minimum(overlap, np.minimum(sizes[a], sizes[b]))
-        out[at : at + (1 << 16)] = 100 * overlap >= percent * (sizes[a] + sizes[b] - overlap)
+        out[at : at + step] = 100 * overlap >= percent * (sizes[a] + sizes[b] - overlap)
     return out
 
 
 def _tie_rows(percent: int):
     """Rows (key, class, n, counts) sorted by key come in; classes that may be linked go out as pairs that connect them."""
 
-    def ties(rows: pa.RecordBatch) -> pa.RecordBatch:
-        key, ids, sizes = (rows.column(c).to_numpy() for c in ("key", "class", "n"))
-        halves = packed(rows.column("counts"))[0].reshape(len(key), BUCKETS // 2)
-        counts = np.stack([halves & 15, halves >> 4], axis=2).reshape(len(key), BUCKETS)
+    def tied(key: np.ndarray, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([begin, [len(key)]]))
         few = np.repeat(size <= FEW, size)
@@ -343,7 +360,26 @@ def _tie_rows(percent: int):
             own = ids[a : a + n]
             found = tree_links(SignatureTree.of_counts(counts[a : a + n], sizes[a : a + n]), percent, np.arange(n))
             pairs.append(own[np.array(found, np.int64).reshape(-1, 2)].T)
-        both = np.unique(np.sort(np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), axis=0), axis=1)
+        return pairs
+
+    def ties(rows: pa.RecordBatch) -> pa.RecordBatch:
+        key, ids, sizes = (rows.column(c).to_numpy() for c in ("key", "class", "n"))
+        halves, places = packed(rows.column("counts"))
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([begin, [len(key)]]))
+        owner = np.repeat(np.arange(len(begin)), size)
+        # The sets of a key are compared in the buckets of the smallest.
+        buckets = np.minimum.reduceat(2 * np.diff(places), begin)
+        while (wide := (buckets > LEAST_BUCKETS) & (buckets * size > KEY_COUNTS)).any():
+            buckets[wide] //= 2
+        pairs = [np.zeros((2, 0), np.int64)]
+        for own in np.unique(buckets).tolist():
+            keys = np.flatnonzero(buckets == own)
+            step = np.cumsum(size[keys]) * own // STEP_COUNTS
+            for some in np.split(keys, np.flatnonzero(step[1:] != step[:-1]) + 1):
+                at = np.flatnonzero(np.isin(owner, some))
+                pairs += tied(key[at], ids[at], sizes[at], folded(halves, places, at, own))
+        both = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -531,19 +567,19 @@ def shingle_links(
 
 
 def _visits(docs: DataFrame, dealt: DataFrame, links: DataFrame, k: int, percent: int, all_pairs: bool) -> DataFrame:
-    """Links between the blocks of a group: pairs of blocks that hold anyone outside the group's largest component, or ``all_pairs``."""
+    """Links between the blocks of a group: with members outside the group's largest component, or ``all_pairs``."""
     roots = components(links).withColumnsRenamed({"node": "class", "root": "label"})
     dealt = stored(dealt.join(roots, "class", "left").withColumn("label", F.coalesce("label", "class")))
     counts = dealt.groupBy("unit", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("unit").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    state = dealt.join(main, "unit").groupBy("unit", "grade", "block").agg(F.max(F.col("label") != F.col("main")).alias("open"))
-    state = stored(state)
-    other = small(state.select("unit", F.col("grade").alias("near"), F.col("block").alias("other"), F.col("open").alias("open_too")))
-    every = dealt.join(small(state.select("unit", "block", "open")), ["unit", "block"])
-    every = every.withColumn("near", F.explode(F.array(*[F.col("grade") + step for step in (-1, 0, 1)])))
+    main = stored(counts.groupBy("unit").agg(F.max_by("label", F.struct("n", "label")).alias("main")))
+    dealt = dealt.join(small(main), "unit").withColumn("outside", F.col("label") != F.col("main"))
+    state = stored(dealt.groupBy("unit", "grade", "block").agg(F.max("outside").alias("open")))
+    other = small(state.select("unit", F.col("grade").alias("near"), F.col("block").alias("other"), "open"))
+    every = dealt.withColumn("near", F.explode(F.array(*[F.col("grade") + step for step in (-1, 0, 1)])))
     every = every.join(other, ["unit", "near"]).filter("other <> block")
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    met = (every if all_pairs else every.filter("open or open_too")).select(
+    # A member of the largest component meets only blocks with others.
+    met = (every if all_pairs else every.filter("outside or open")).select(
         "id", "class", "unit", F.xxhash64(low, high).alias("pair"), "label", (F.col("block") == high).alias("side")
     )
     return _block_pass(_texts(docs, stored(met.withColumnRenamed("pair", "block"))), k, percent, all_pairs)

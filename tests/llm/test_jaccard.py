@@ -170,3 +170,57 @@ def test_large_keys_are_tied_without_a_task_that_holds_them(spark, monkeypatch):
     want = sorted(map(tuple, jaccard.shingle_components(rows).collect()))
     monkeypatch.setattr(jaccard, "MOST", 5)
     assert sorted(map(tuple, jaccard.shingle_components(rows).collect())) == want
+
+
+def test_large_sets_that_share_a_passage_do_not_meet(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = " ".join(f"w{rng.randrange(10**6)}" for _ in range(600))
+    texts = [" ".join([passage, *(f"w{rng.randrange(10**9)}" for _ in range(6000))]) for _ in range(30)]
+    texts += [f"{texts[0]} end", f"{passage} {texts[1]}"]
+    met, block_pass = [], jaccard._block_pass
+    monkeypatch.setattr(jaccard, "_block_pass", lambda rows, *rest: met.append(rows.count()) or block_pass(rows, *rest))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.shingle_components(documents(spark, list(enumerate(texts))), block_rows=4).collect()}
+    assert got == {i: {30: 0, 31: 1}.get(i, i) for i in range(32)}
+    assert met == [4]
+
+
+def test_linked_sets_share_a_key_and_chance_hardly_gives_any():
+    rng = np.random.default_rng(5)
+    for percent in (80, 85):
+        for size in (1, 2, 3, 5, 9, 20, 57, 200, 900, 4000):
+            sets = []
+            for _ in range(30):
+                base = rng.integers(1 << 60, size=size).astype(np.uint64)
+                larger = np.concatenate([base, rng.integers(1 << 60, 1 << 61, size * 100 // percent - size).astype(np.uint64)])
+                out = next(d for d in range(size, -1, -1) if 100 * (size - d) >= percent * (size + d))
+                swapped = np.concatenate([base[out:], rng.integers(1 << 60, 1 << 61, out).astype(np.uint64)])
+                sets += [np.unique(base), np.unique(larger), np.unique(swapped)]
+            first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            keys, rows = jaccard.part_keys(np.concatenate(sets), first, percent)
+            of = [set(keys[rows == i].tolist()) for i in range(len(sets))]
+            assert all(of[i] & of[i + 1] and of[i] & of[i + 2] for i in range(0, len(sets), 3)), (percent, size)
+    shared = rng.integers(1 << 60, size=400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(1 << 60, size=6000).astype(np.uint64)])) for _ in range(30)]
+    keys, rows = jaccard.part_keys(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), 80)
+    assert len(keys) - len(np.unique(keys)) < 150
+
+
+def test_folded_signatures_are_those_of_fewer_buckets(monkeypatch):
+    rng = np.random.default_rng(6)
+    values, first = rng.integers(1 << 60, size=9100).astype(np.uint64), np.array([0, 9000, 9000, 9100])
+    halves, places = jaccard.bucket_counts(values, first)
+    got = jaccard.folded(halves, places, np.arange(3), 64)
+    monkeypatch.setattr(jaccard, "MOST_BUCKETS", 64)
+    halves, places = jaccard.bucket_counts(values, first)
+    assert np.array_equal(got, jaccard.folded(halves, places, np.arange(3), 64))
+    assert np.diff(places).tolist() == [32, 32, 32] and got[2].sum() == 100
+
+
+def test_a_key_of_large_sets_is_folded_to_its_bound(spark, monkeypatch):
+    rng = random.Random(10)
+    base = prose(rng, 3000)
+    rows = documents(spark, list(enumerate([*near_copies(rng, base, 30, 40), *near_copies(rng, prose(rng, 60), 30, 2)])))
+    want = sorted(map(tuple, jaccard.shingle_components(rows).collect()))
+    monkeypatch.setattr(jaccard, "KEY_COUNTS", 1 << 10)
+    monkeypatch.setattr(jaccard, "STEP_COUNTS", 100)
+    assert sorted(map(tuple, jaccard.shingle_components(rows).collect())) == want

@@ -133,3 +133,34 @@ def test_a_token_is_tried_once_for_all_its_places_and_headers(spark, files_of):
     assert spark.read.parquet(str(made)).count() == 2 * 30
     counts = {tuple(r)[:2]: r["count"] for r in found.groupBy("path", "value").count().collect()}
     assert counts == {("a", "alpha1"): 6000, ("b", "alpha1"): 30, ("b", "alpha2"): 30, ("a", "1234"): 200}
+
+
+def test_long_literals_are_filed_under_long_pieces(spark):
+    """Words that share three letters don't meet: six letters of a literal tell it from most others."""
+    table = spark.createDataFrame([("a", "threlyes[a-z]?"), ("b", "AKIA[0-9]{4}"), ("c", r"\w+@\w+")], "header string, pattern string")
+    keys = {r["header"]: r["key"] for r in rule_index(table).collect()}
+    assert keys["a"] in {"threly", "hrelye", "relyes"}
+    assert keys["b"] in {"aki", "kia"} and keys["c"] == "@"
+
+
+def test_places_of_a_frequent_token_are_dealt(spark, files_of, monkeypatch):
+    """A token that makes most of the result is no one task's: what matches it is stored once for each of its shares."""
+    from pathlib import Path
+
+    from leaksieve.operators import rules
+
+    monkeypatch.setattr(rules, "SHARE_ROWS", 50, raising=False)
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("matched-*"))
+    known = {f"r{n}": "alpha[0-9]" for n in range(30)} | {"mail": r"\w+@\w+", "greek": "(?i)gamm?a", "loose": "(?i)xal?p"}
+    files = files_of({"a": "alpha1 beta a@b\n" * 200, "b": "alpha1 Gamma xalpha2x", "c": None})
+    files = files.unionByName(files.filter("path <> 'a'"))
+    table = spark.createDataFrame(list(known.items()), "header string, pattern string")
+    found = rule_table_hits(files, table)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rule_hits(files, known).collect()))
+    (made,) = set(shared.glob("matched-*")) - before
+    shares = {r["token"]: r["n"] for r in spark.read.parquet(str(made)).groupBy("token").agg({"__share": "count"}).toDF("token", "n").collect()}
+    share = max(50, (202 * 30 + 200 + 2 + 60) // rules.SHARES)
+    rows = {"alpha1": 202 * 30, "a@b": 200, "Gamma": 2, "xalpha2x": 60}
+    headers = {"alpha1": 30, "a@b": 1, "Gamma": 1, "xalpha2x": 30}
+    assert shares == {token: headers[token] * -(-n // share) for token, n in rows.items()}

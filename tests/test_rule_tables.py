@@ -164,3 +164,19 @@ def test_places_of_a_frequent_token_are_dealt(spark, files_of, monkeypatch):
     rows = {"alpha1": 202 * 30, "a@b": 200, "Gamma": 2, "xalpha2x": 60}
     headers = {"alpha1": 30, "a@b": 1, "Gamma": 1, "xalpha2x": 30}
     assert shares == {token: headers[token] * -(-n // share) for token, n in rows.items()}
+
+
+def test_few_rules_without_a_literal_go_to_the_texts(spark, files_of):
+    """Texts don't move for them, however many rules with a literal there are beside them."""
+    rules = [(f"r{i}", f"token{i}[0-9]+") for i in range(3000)] + [("hex", "[0-9a-f]{8}")]
+    index = rule_index(spark.createDataFrame(rules, "header string, pattern string"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        found = rule_table_hits(files_of({"f": "token7123 deadbeef token1999"}), index)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        (joined,) = [line for line in plan.splitlines() if "Join" in line and "RLIKE(text" in line]
+        assert "BroadcastHashJoin" in joined
+        assert {r["header"] for r in found.collect()} == {"r7", "r71", "r712", "r1", "r19", "r199", "hex"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
